@@ -6,7 +6,9 @@ from importlib import import_module
 
 #: query -> module of this subpackage that has the function of that name
 _QUERIES = {
+    "op4_fingerprints": "fingerprints",
     "op5_token_counts": "token_counts",
+    "op6_quality": "quality",
     "op9_packing": "packing",
 }
 
