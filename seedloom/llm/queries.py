@@ -7,6 +7,7 @@ from importlib import import_module
 #: query -> module of this subpackage that has the function of that name
 _QUERIES = {
     "op1_substring_dedup": "substrings",
+    "op2_decontamination": "decontamination",
     "op3_lm": "lm",
     "op4_fingerprints": "fingerprints",
     "op5_token_counts": "token_counts",
