@@ -12,6 +12,7 @@ _QUERIES = {
     "op4_fingerprints": "fingerprints",
     "op5_token_counts": "token_counts",
     "op6_quality": "quality",
+    "op7_jaccard": "jaccard",
     "op8_secrets": "secrets",
     "op9_packing": "packing",
 }
