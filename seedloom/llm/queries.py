@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: query -> module of this subpackage that has the function of that name
 _QUERIES = {
+    "op10_licenses": "licenses",
     "op1_substring_dedup": "substrings",
     "op2_decontamination": "decontamination",
     "op3_lm": "lm",
