@@ -20,7 +20,7 @@ _QUERIES = {
 
 
 def queries() -> dict:
-    return {name: getattr(import_module(f"{__package__}.{module}"), name) for name, module in _QUERIES.items()}
+    return {"pipeline": import_module("corpus_pipeline").run} | {name: getattr(import_module(f"{__package__}.{module}"), name) for name, module in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
