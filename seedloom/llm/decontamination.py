@@ -2,7 +2,8 @@
 
 Texts are canonicalised word by word: numbers, names and units become typed
 placeholders, everything else is lowered and freed of marks. Windows of five
-template words are joined by hash to the benchmark's. Where a matching window
+template words are joined by hash to the benchmark's: first by their longest
+plain word, then by all five. Where a matching window
 has placeholders, the benchmark's value and the document's form a slot; a
 value that stands for two different ones along one alignment is inconsistent,
 and the windows with such slots don't count. A document that keeps at least
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 
 WINDOW = 5
 #: Share of an item's windows that a document must hold.
@@ -39,9 +40,8 @@ def _units() -> str:
 
 def plain_words(text: Column) -> Column:
     """Words between white space, without those that have neither letter nor digit, joined by one space."""
-    t = F.translate(F.coalesce(text.cast("string"), F.lit("")), NUMBER + NAME + UNIT, "   ")
-    t = F.regexp_replace(t, r"(?<!\S)[^\p{L}\p{N}\s]+(?!\S)", "")
-    return F.trim(F.regexp_replace(t, r"\s+", " "))
+    t = F.concat(F.lit(" "), F.coalesce(text.cast("string"), F.lit("")), F.lit(" "))
+    return F.trim(F.regexp_replace(t, r"[\s\x01-\x03]+(?:[^\p{L}\p{N}\s]+\s+)*", " "))
 
 
 def template(words: Column) -> Column:
@@ -52,25 +52,9 @@ def template(words: Column) -> Column:
     return F.regexp_replace(F.lower(t), rf"[^\p{{L}}\p{{N}} {NUMBER}{NAME}{UNIT}]+", "")
 
 
-def windows(docs: DataFrame, *keys: str) -> DataFrame:
-    """keys, at, h, raw: each window's place and hash, and its own words where it has placeholders."""
-    rows = docs.select(*keys, plain_words(F.col("text")).alias("plain"))
-    rows = rows.select(*keys, "plain", template(F.col("plain")).alias("template"))
-    rows = rows.select(*keys, F.split("plain", " ").alias("own"), F.split("template", " ").alias("words"), F.col("template").rlike(f"[{NUMBER}{NAME}{UNIT}]").alias("slots"))
-    rows = rows.filter(F.size("words") >= WINDOW)
-
-    def at(i: Column, with_slots: bool) -> Column:
-        part = F.slice("words", i, WINDOW)
-        raw = F.when(F.array_join(part, " ").rlike(f"[{NUMBER}{NAME}{UNIT}]"), F.array_join(F.slice("own", i, WINDOW), " ")) if with_slots else F.lit(None).cast("string")
-        return F.struct(F.xxhash64(part).alias("h"), raw.alias("raw"))
-
-    places = F.sequence(F.lit(1), F.size("words") - WINDOW + 1)
-    found = F.when(F.col("slots"), F.transform(places, lambda i: at(i, True))).otherwise(F.transform(places, lambda i: at(i, False)))
-    return rows.select(*keys, F.posexplode(found).alias("at", "w")).select(*keys, "at", "w.h", "w.raw")
-
-
 def index(benchmark: DataFrame) -> DataFrame:
-    """item_id, at, h, own and kinds (words of the window, raw and template), n_windows of the item."""
+    """item_id, item_at, own and kinds (words of the window, raw and template), h (hash of kinds), n_windows of the item,
+    anchor and its place: the longest plain word of the window, by which it is looked up."""
     rows = benchmark.filter(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), plain_words(F.col("text")).alias("plain"))
     rows = rows.select("item_id", F.split("plain", " ").alias("own"), F.split(template(F.col("plain")), " ").alias("words")).filter(F.size("words") >= WINDOW).distinct()
     places = F.sequence(F.lit(1), F.size("words") - WINDOW + 1)
@@ -79,7 +63,24 @@ def index(benchmark: DataFrame) -> DataFrame:
     literal = F.filter("kinds", lambda k: ~k.isin(NUMBER, NAME, UNIT))
     rows = rows.filter(F.size(literal) >= PLAIN)
     n = rows.groupBy("item_id").agg(F.countDistinct("h").alias("n_windows"))
-    return rows.join(n, "item_id")
+    longest = F.array_max(F.transform(F.col("kinds"), lambda k, i: F.struct(F.when(k.isin(NUMBER, NAME, UNIT), F.lit(0)).otherwise(F.length(k)).alias("n"), k.alias("word"), i.alias("place"))))
+    return rows.join(n, "item_id").withColumn("longest", longest).select("*", F.col("longest.word").alias("anchor"), F.col("longest.place").alias("place")).drop("longest")
+
+
+def hits(docs: DataFrame, wanted: DataFrame, *keys: str) -> DataFrame:
+    """keys, at (a window's place) and the columns of the equal benchmark window, raw: the document's own words there.
+
+    Each word of a document is looked up among the anchors; only where it is
+    one, the window around it is cut out and its hash held against the benchmark's.
+    """
+    rows = docs.select(*keys, plain_words(F.col("text")).alias("plain"))
+    rows = rows.select(*keys, "plain", F.split(template(F.col("plain")), " ").alias("words"))
+    # outer: a filter that the optimizer infers for an inner one would canonicalise each text twice
+    rows = rows.select(*keys, "plain", "words", F.posexplode_outer("words").alias("p", "anchor"))
+    at = F.col("p") - F.col("place")
+    found = rows.join(wanted, "anchor").filter((at >= 0) & (at + WINDOW <= F.size("words")))
+    found = found.filter(F.xxhash64(F.slice("words", F.greatest(at, F.lit(0)) + 1, WINDOW)) == F.col("h"))
+    return found.select(*keys, at.alias("at"), *wanted.drop("anchor", "place").columns, F.slice(F.split("plain", " "), at + 1, WINDOW).alias("raw"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
@@ -95,15 +96,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, containment: float = CON
     if wanted.count() <= MOST_BROADCAST:
         wanted = F.broadcast(wanted)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("tie"), "text")
-    hits = windows(keyed, "doc_id", "tie").join(wanted, "h")
-    words = F.when(F.col("raw").isNotNull(), F.split("raw", " "))
-    hits = hits.select("doc_id", "tie", "item_id", "h", "n_windows", (F.col("at") - F.col("item_at")).alias("diagonal"), F.filter(F.arrays_zip(F.col("kinds").alias("kind"), F.col("own").alias("item"), words.alias("doc")), lambda x: x["kind"].isin(NUMBER, NAME, UNIT)).alias("slots")).distinct()
+    found = hits(keyed, wanted, "doc_id", "tie").select("doc_id", "tie", "item_id", "h", "n_windows", (F.col("at") - F.col("item_at")).alias("diagonal"), F.filter(F.arrays_zip(F.col("kinds").alias("kind"), F.col("own").alias("item"), F.col("raw").alias("doc")), lambda x: x["kind"].isin(NUMBER, NAME, UNIT)).alias("slots")).distinct()
+    found = written(found, "decontamination-hits")
     line = ["doc_id", "tie", "item_id", "diagonal"]
-    slots = hits.select(*line, F.explode("slots").alias("s")).select(*line, F.col("s.kind").alias("kind"), F.col("s.item").alias("item"), F.col("s.doc").alias("doc"))
+    slots = found.select(*line, F.explode("slots").alias("s")).select(*line, F.col("s.kind").alias("kind"), F.col("s.item").alias("item"), F.col("s.doc").alias("doc"))
     torn = slots.groupBy(*line, "kind", "item").agg(F.countDistinct("doc").alias("n")).filter("n > 1")
     torn = torn.groupBy(*line).agg(F.collect_set(F.struct("kind", "item")).alias("torn"))  # an item's values at most
     same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in line]
-    judged = hits.alias("a").join(torn.alias("b"), same, "left").select("a.*", "b.torn")
+    judged = found.alias("a").join(torn.alias("b"), same, "left").select("a.*", "b.torn")
     bad = F.exists("slots", lambda s: F.array_contains(F.col("torn"), F.struct(s["kind"].alias("kind"), s["item"].alias("item"))))
     judged = judged.filter(F.col("torn").isNull() | ~bad)
     changed = F.exists("slots", lambda s: s["item"] != s["doc"])
