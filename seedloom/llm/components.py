@@ -9,6 +9,7 @@ from .common import written
 
 #: Far more rounds than any graph of this size has needed.
 MOST_ROUNDS = 60
+ROWS_IN_FILE = 500_000
 
 
 def _stars(edges: DataFrame, both: bool) -> DataFrame:
@@ -30,9 +31,11 @@ def components(edges: DataFrame) -> DataFrame:
     """
     now = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct()
     now = written(now, "components")
+    # later rounds have no more edges: files of a fair size for them
+    files = max(6, now.count() // ROWS_IN_FILE)
     before = None
     for _ in range(MOST_ROUNDS):
-        now = written(_stars(_stars(now, True), False), "components")
+        now = written(_stars(_stars(now, True), False).coalesce(files), "components")
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             nodes = now.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -25,7 +25,7 @@ from .tokenizing import slices
 
 SAMPLES = 64
 #: Entries that a worker process keeps of terms that stand once, and of (term, count) pairs.
-ONCE, OFTEN = 500_000, 100_000
+ONCE, OFTEN = 300_000, 80_000
 #: Bytes of text for each bucket of the ordered pass, and the most buckets.
 BUCKET_BYTES, MOST_BUCKETS = 16_000_000, 4096
 _SMALLEST = -(1 << 63)

@@ -1,9 +1,9 @@
 """Exact Jaccard join of word shingle sets with a prefix tree.
 
 1. Equal sets are one node, the smallest doc_id of those that have it.
-2. Shingles are put in one order, rare ones first. A set that links to another
-   shares a shingle with it among the first |x| - ceil(t |x|) + 1 of both, so
-   sets without a shared prefix shingle are done.
+2. Shingles are put in one order, frequent ones last. A set that links to another
+   shares at least l shingles with it among the first |x| - ceil(t |x|) + l of both.
+   With l about half of |x| - ceil(t |x|) + 1, sets of whose prefix fewer stand in any other prefix are done.
 3. What shares prefix shingles, however indirectly, is a cluster. Larger clusters are
    dealt into chunks, each pair of chunks one task, so that a task has a bounded number of shingles.
 4. A task stores its sets in a compressed trie and walks it with each set: sets
@@ -88,6 +88,15 @@ def frequent(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tup
     return h[order], n[order]
 
 
+def prefix(n, percent: int = PERCENT):
+    """Length of the prefix of a set of n shingles, and how many of them any set that it links to shares at least."""
+    spare = lambda k: k - -(-percent * k // 100)
+    some = lambda k: max(1, (spare(k) + 1) // 2)
+    if 100 * n < percent * (n + 1):  # only an equal set is near enough
+        return 0, 0
+    return spare(n) + some(n), some(-(-percent * n // 100))
+
+
 def in_order(s: np.ndarray, known: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """The set's shingles, those that aren't frequent first, by hash."""
     h, n = known
@@ -227,25 +236,29 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
                 sets = shingle_sets(texts[i:j], words)
                 marks = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
                 n = [len(s) for s in sets]
-                # a set of m shingles needs ceil(percent * m / 100) in common with any it links to
-                first = [in_order(s, known)[: len(s) - -(-percent * len(s) // 100) + 1].view(np.int64) if 100 * len(s) >= percent * (len(s) + 1) else s[:0].view(np.int64) for s in sets]
+                sizes = [prefix(m, percent) for m in n]
+                first = [in_order(s, known)[:k].view(np.int64) if k else s[:0].view(np.int64) for s, (k, _) in zip(sets, sizes)]
                 cuts = np.concatenate([[0], np.cumsum([len(f) for f in first])])
                 flat = np.concatenate(first) if first else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array([(m >> 64) - (1 << 63) for m in marks], pa.int64()),
-                        pa.array([(m & (1 << 64) - 1) - (1 << 63) for m in marks], pa.int64()), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(flat)),
+                        pa.array([(m & (1 << 64) - 1) - (1 << 63) for m in marks], pa.int64()), pa.array([k for _, k in sizes], pa.int32()), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(flat)),
                     ],
-                    ["doc_id", "n", "n1", "n2", "prefix"],
+                    ["doc_id", "n", "n1", "n2", "need", "prefix"],
                 )
 
-    rows = written(_texts(docs).mapInArrow(prefixes, "doc_id long, n long, n1 long, n2 long, prefix array<long>"), "jaccard-prefixes")
+    rows = written(_texts(docs).mapInArrow(prefixes, "doc_id long, n long, n1 long, n2 long, need int, prefix array<long>"), "jaccard-prefixes")
     classes = rows.filter("doc_id is not null and n > 0").groupBy("n1", "n2").agg(F.min("doc_id").alias("low"), F.countDistinct("doc_id").alias("copies"))
     classes = written(classes, "jaccard-classes")
-    ours = rows.filter("size(prefix) > 0").join(classes, ["n1", "n2"]).filter("doc_id = low").select("low", "n1", "n2", "prefix")
-    tokens = written(ours.select("low", F.explode("prefix").alias("token")), "jaccard-tokens")
-    shared = tokens.groupBy("token").agg(F.min("low").alias("lo"), F.max("low").alias("hi")).filter("lo < hi").select("token", "lo")
-    pairs = tokens.join(shared, "token").filter("low > lo").select(F.col("low").alias("a"), F.col("lo").alias("b"))
+    ours = rows.filter("size(prefix) > 0").join(classes, ["n1", "n2"]).filter("doc_id = low").select("low", "need", "prefix")
+    tokens = written(ours.select("low", "need", F.explode("prefix").alias("token")), "jaccard-tokens")
+    shared = tokens.groupBy("token").agg(F.min("low").alias("lo"), F.max("low").alias("hi")).filter("lo < hi").select("token")
+    tokens = written(tokens.join(shared, "token", "left_semi").select("low", "need", "token"), "jaccard-shared")
+    enough = tokens.groupBy("low", "need").agg(F.countDistinct("token").alias("n")).filter("n >= need").select("low")
+    tokens = tokens.join(enough, "low", "left_semi").select("low", "token")
+    first = tokens.groupBy("token").agg(F.min("low").alias("lo"), F.max("low").alias("hi")).filter("lo < hi").select("token", "lo")
+    pairs = tokens.join(first, "token").filter("low > lo").select(F.col("low").alias("a"), F.col("lo").alias("b"))
     clusters = written(components(pairs).select(F.col("node").alias("low"), F.col("root").alias("cluster")), "jaccard-clusters")
 
     near = clusters.join(classes, "low").select("low", "cluster", "copies", "n1", "n2")

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shared_dir, table
+from .common import shared_dir, table, written
 
 
 @dataclass(frozen=True)
@@ -116,7 +116,8 @@ def scan(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, rule
     held = versions.select(F.col("path").cast("long").alias("path"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     texts = held.join(new.filter("path is not null"), "path").filter(blob_of(F.col("text")) == F.col("blob")).select("blob", "text")
     nameless = held.filter("path is null").select(blob_of(F.col("text")).alias("blob"), "text").join(new.filter("path is null").select("blob"), "blob", "left_semi").dropDuplicates(["blob"])
-    found = findings(texts.unionByName(nameless), rules)
+    # written, so that no filter of the scan reaches texts that are known already
+    found = findings(written(texts.unionByName(nameless), "secret-texts"), rules)
     found.select("blob", F.lit(rules_version).alias("rules"), "rank", "kind", "start", "end").write.mode("append").parquet(f"{ledger}/findings")
     seen.select("blob", F.lit(rules_version).alias("rules")).distinct().join(done.select("blob"), "blob", "left_anti").write.mode("append").parquet(f"{ledger}/scans")
     known = _ledger(spark, ledger, "findings", FINDINGS).filter(F.col("rules") == rules_version).drop("rules").distinct()

@@ -9,7 +9,7 @@ import re
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Entries that one worker process keeps; about 200 bytes each.
-CACHE_ENTRIES = 1_200_000
+CACHE_ENTRIES = 600_000
 
 _loaded: dict = {}
 
@@ -32,33 +32,59 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class WordIds:
-    """Ids of whole words for tokenizers that drop white space.
+def _byte_letters() -> list[str]:
+    """The letter by which byte-level tokenizers write each byte: itself where it shows, else one after 255."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return [chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)]
+
+
+_LETTERS = _byte_letters()
+#: Letters that are one lower-case letter each, in one way of writing, with a mark or without.
+_SIMPLE = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,]?)").fullmatch
+
+
+class WordIds(dict):
+    """word -> packed ids, for tokenizers that drop white space.
 
     Such a tokenizer never joins text across ASCII white space, so the ids of
     a text are the ids of its words one after another, and a word needs
-    encoding once.
+    encoding once. Of two generations of words the older one goes when the
+    younger is full, so that words in use stay.
     """
 
     def __init__(self, path: str, entries: int = CACHE_ENTRIES):
-        self.lib, self.entries, self.ids = tokenizer(path), entries, {}
+        super().__init__()
+        self.lib, self.entries, self.old = tokenizer(path), entries // 2, {}
         self.code = "H" if self.lib.get_vocab_size() <= 1 << 16 else "I"
+        self.pieces = self.lib.model.tokenize
+        self.marks = {m: self.packed(self.lib.encode(m, add_special_tokens=False).ids) if m else b"" for m in ("", ".", ",")}
+
+    def packed(self, ids: list[int]) -> bytes:
+        return array.array(self.code, ids).tobytes()
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            text = word.decode()
+            if simple := _SIMPLE(text):
+                # the tokenizer lowers a run of letters and parts marks from it
+                letters, mark = simple[1].lower(), simple[2]
+                if not letters.isascii():
+                    letters = "".join(map(_LETTERS.__getitem__, letters.encode()))
+                ids = self.packed([t.id for t in self.pieces(letters)]) + self.marks[mark]
+            else:
+                ids = self.packed(self.lib.encode(text, add_special_tokens=False).ids)
+        if len(self) >= self.entries:
+            self.old = dict(self)
+            self.clear()
+        self[word] = ids
+        return ids
 
     def of(self, texts: list[str]) -> list[bytes]:
         """For each text the packed ids."""
-        words = [t.encode().split() for t in texts]
-        wanted: set[bytes] = set()
-        for w in words:
-            wanted.update(w)
-        if len(self.ids) + len(wanted) > self.entries:
-            self.ids = {k: self.ids[k] for k in wanted if k in self.ids}
-        new = [w for w in wanted if w not in self.ids]
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            for w, e in zip(part, self.lib.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                self.ids[w] = array.array(self.code, e.ids).tobytes()
-        get = self.ids.__getitem__
-        return [b"".join(map(get, w)) for w in words]
+        get = self.__getitem__
+        return [b"".join(map(get, t.encode().split())) for t in texts]
 
 
 #: Unicode White_Space, as the byte-level pattern's \s has it.

@@ -10,7 +10,7 @@ TEXTS = [
     "Hello  world, it's\n\nfine.",
     "",
     None,
-    "a <|endoftext|> b  <|endoftext|>c",
+    "a <|endoftext|> b  <|endoftext|>c <|ENDOFTEXT|>. <|endoftext|>, It'S. a.b. DON'T, 'S. x., 1. 12, é. É,",
     " \t lead\x0b and trail \n",
     "num 12345 x y z \x1c\x85 q",
     "Éá ß ΣΑΣ é",
