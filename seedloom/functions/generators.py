@@ -464,18 +464,21 @@ def zipf(start: int = 1, size: int = 100, exponent: float = 1.0) -> Gen:
     return Gen("zipf", 1, formula, params={"start": start, "size": size, "exponent": exponent})
 
 
-def with_columns(df: DataFrame, row: str, gens: Mapping[str, tuple[Gen, int]]) -> DataFrame:
-    """df with a generated column for each name: (generator, seed). row is an expression of the row index. No shuffle."""
+def with_columns(df: DataFrame, row: str, gens: Mapping[str, tuple]) -> DataFrame:
+    """df with a generated column for each name: (generator, seed), or those and a row expression of its own.
+
+    row is an expression of the row index. No shuffle.
+    """
     keep = [f"`{c}`" for c in df.columns]
     draws, mixed, at = {}, {}, {}
-    for k, (name, (g, seed)) in enumerate(gens.items()):
+    for k, (name, (g, seed, *own)) in enumerate(gens.items()):
         at[name] = [f"__d{k}_{j}" for j in range(g.draws)]
-        draws |= {c: (seed, j) for j, c in enumerate(at[name])}
-        mixed |= {f"{c}{k}": f"{row} + {e}L" for c, e in g.mixed.items()}
+        draws |= {c: (seed, j, *own) for j, c in enumerate(at[name])}
+        mixed |= {f"{c}{k}": f"{own[0] if own else row} + {e}L" for c, e in g.mixed.items()}
     out = with_mixed(with_draws(df, row, draws), mixed)
     made = []
-    for k, (name, (g, _)) in enumerate(gens.items()):
-        sql = g.sql(SPARK, at[name], row)
+    for k, (name, (g, _, *own)) in enumerate(gens.items()):
+        sql = g.sql(SPARK, at[name], own[0] if own else row)
         for c in g.mixed:
             sql = sql.replace(c, f"{c}{k}")
         made.append(f"{sql} AS `{name}`")

@@ -62,10 +62,10 @@ def with_mixed(df: DataFrame, mixed: dict[str, str]) -> DataFrame:
         return df.selectExpr(*keep, *(f"`{n}` ^ shiftrightunsigned(`{n}`, 31) AS `{n}`" for n in mixed))
 
 
-def with_draws(df: DataFrame, row: str, seeds: dict[str, tuple[int, int]]) -> DataFrame:
-    """df with non-negative 63-bit draws, a column for each name: (seed, draw number)."""
+def with_draws(df: DataFrame, row: str, seeds: dict[str, tuple]) -> DataFrame:
+    """df with non-negative 63-bit draws, a column for each name: (seed, draw number), or those and a row expression of its own."""
     keep = [f"`{c}`" for c in df.columns]
-    out = with_mixed(df, {n: f"{row} + {draw_base(s, j)}L" for n, (s, j) in seeds.items()})
+    out = with_mixed(df, {n: f"{s[2] if len(s) > 2 else row} + {draw_base(s[0], s[1])}L" for n, s in seeds.items()})
     return out.selectExpr(*keep, *(f"shiftrightunsigned(`{n}`, 1) AS `{n}`" for n in seeds)) if seeds else df
 
 

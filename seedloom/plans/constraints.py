@@ -39,7 +39,7 @@ def parse_check(text: str | None) -> ColumnConstraint | None:
     bare = re.sub(r"'(?:[^']|'')*'", "''", text).lower()
     if re.search(r"<>|!=|\bor\b|\bnot\b|~|\blike\b", bare):
         return None
-    if m := re.search(r"array\s*\[(.*)\]", text, re.I | re.S):
+    if m := re.search(r"array\s*\[((?:'(?:[^']|'')*'|[^\]'\[]|\[\])*)\]", text, re.I):
         values = _items(m[1])
     elif m := re.search(r"\bin\s*\((.*)\)", text, re.I | re.S):
         depth, end = 1, len(m[1])
