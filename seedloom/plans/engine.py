@@ -18,6 +18,9 @@ from .model import SchemaModel, TableModel
 from .registry import Registry, resolve
 
 
+ROW = "__row"
+
+
 @dataclass(frozen=True)
 class TableConfig:
     """Rows, generators of columns, and where a table's rows aren't a plain range, its source.
@@ -60,12 +63,13 @@ def fill_table(spark: SparkSession, schema: SchemaModel, table: TableModel, conf
         else:
             name, root = graph.root_key(schema, table.name, c.name)
             of = schema.table(name)
-            column, at = of.column(root), f"(id % {max(1, config.rows(of.name))})"
+            column, at = of.column(root), f"({ROW} % {max(1, config.rows(of.name))})"
         gen = resolve(column, config.of(of.name).columns, config.registry, of.constraints.get(column.name), dialect).gen
         seed = column_seed(config.seed, column.name, of.name, schema.name, schema.catalog, column.type_name, column.ordinal)
         made[c.name] = (gen, seed, at) if at else (gen, seed)
     rows = own.source(spark) if own.source else spark.range(0, config.rows(table.name), 1, config.partitions)
-    return g.with_columns(rows, "id", made).select(*(f"`{n}`" for n in made)) if made else rows.select()
+    rows = rows.withColumnRenamed("id", ROW)  # tables may have an id of their own
+    return g.with_columns(rows, ROW, made).select(*(f"`{n}`" for n in made)) if made else rows.select()
 
 
 def fill(spark: SparkSession, schema: SchemaModel, config: FillConfig = FillConfig()) -> dict[str, DataFrame]:

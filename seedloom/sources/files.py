@@ -49,7 +49,7 @@ def write_tables(tables: Mapping[str, DataFrame], path: str, mode: str = "errori
 
 def generate(spark: SparkSession, columns: Mapping[str, tuple[Gen, int]], rows: int = 1000, partitions: int | None = None) -> DataFrame:
     """A flat table of generated columns: name -> (generator, seed)."""
-    return with_columns(spark.range(0, rows, 1, partitions), "id", columns).select(*columns)
+    return with_columns(spark.range(0, rows, 1, partitions).toDF("__row"), "__row", columns).select(*columns)
 
 
 def descriptor(columns: Mapping[str, tuple[Gen, int]], rows: int = 1000) -> str:
