@@ -1,10 +1,12 @@
 """License scans: phrases, and an exact containment join with license templates. DataFrame functions only.
 
-A text block is a line. A block
-matches a template when it holds at least a share of the template's distinct
-words (containment |T and B| / |T|). Candidates come from a prefix filter: with
-the template's words in the order of how rarely documents have them, a block that matches has
-one of the first |T| - ceil(t |T|) + 1; a block must have enough words (length
+A text block is a run of words, over any lines, twice as long as a template. A block
+matches the template when it holds at least a share of the template's distinct
+words (containment |T and B| / |T|). Only a document that holds this share anywhere
+can have such a block: these documents come from a containment join, then each run of
+theirs is counted. The join's candidates come from a prefix filter: with
+the template's words in the order of how rarely documents have them, a document that matches has
+one of the first |T| - ceil(t |T|) + 1; it must have enough words (length
 filter), and the place of its rarest shared word leaves enough words after it (positional filter).
 Document frequencies of all template words come from all documents.
 """
@@ -20,6 +22,8 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Share of a template's distinct words that a block must hold.
 CONTAINMENT = 0.8
+#: Words of a block for each word of the template: notices may have words put in.
+BLOCK = 2
 
 #: Phrases and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -62,9 +66,10 @@ def spaced(text: Column) -> Column:
 
 
 def template_rows(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
-    """template (number), label, words (distinct)."""
+    """template (number), label, length (all words), words (distinct)."""
     rows = spark.createDataFrame([(i, label, text) for i, (label, text) in enumerate(templates)], "template int, label string, text string")
-    return rows.select("template", "label", F.array_distinct(F.split(F.trim(spaced(F.col("text"))), " ")).alias("words"))
+    words = F.split(F.trim(spaced(F.col("text"))), " ")
+    return rows.select("template", "label", F.size(words).alias("length"), F.array_distinct(words).alias("words"))
 
 
 def ordered_templates(words: DataFrame, templates: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
@@ -74,18 +79,18 @@ def ordered_templates(words: DataFrame, templates: DataFrame, containment: float
     """
     wanted = [w for r in templates.select("words").collect() for w in r.words]  # the templates' own few hundred words
     seen = words.select(F.explode(F.array_intersect("words", F.array(*[F.lit(w) for w in sorted(set(wanted))]))).alias("word")).groupBy("word").count()
-    each = templates.select("template", "label", F.explode("words").alias("word")).join(F.broadcast(seen), "word", "left")
+    each = templates.select("template", "label", "length", F.explode("words").alias("word")).join(F.broadcast(seen), "word", "left")
     order = F.transform(F.sort_array(F.collect_list(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "word"))), lambda x: x["word"])
-    return each.groupBy("template", "label").agg(order.alias("words")).withColumn("need", F.ceil(F.size("words") * containment).cast("int"))
+    return each.groupBy("template", "label", "length").agg(order.alias("words")).withColumn("need", F.ceil(F.size("words") * containment).cast("int"))
 
 
 def matches(blocks: DataFrame, templates: DataFrame) -> DataFrame:
-    """The blocks' other columns with label and containment of each template that a block holds.
+    """The blocks' other columns with label, length, need and words (whole) of each template that a block holds.
 
     blocks has an array column `words` of distinct words.
     """
     rest = [c for c in blocks.columns if c != "words"]
-    prefix = templates.select("template", "label", "need", F.size("words").alias("size"), F.col("words").alias("whole"), F.posexplode(F.slice("words", F.lit(1), F.size("words") - F.col("need") + 1)).alias("place", "token"))
+    prefix = templates.select("template", "label", "length", "need", F.size("words").alias("size"), F.col("words").alias("whole"), F.posexplode(F.slice("words", F.lit(1), F.size("words") - F.col("need") + 1)).alias("place", "token"))
     prefix = F.broadcast(prefix)  # a row for each prefix word of the fixed templates
     tokens = sorted({w for r in templates.select(F.slice("words", F.lit(1), F.size("words") - F.col("need") + 1).alias("p")).collect() for w in r.p})
     some = blocks.withColumn("_tokens", F.array_intersect("words", F.array(*[F.lit(t) for t in tokens])))
@@ -95,7 +100,19 @@ def matches(blocks: DataFrame, templates: DataFrame) -> DataFrame:
     first = F.array_position(F.transform("whole", lambda w: F.array_contains("words", w)), True) - 1
     pairs = pairs.filter(first == F.col("place"))
     shared = F.size(F.array_intersect("words", "whole"))
-    return pairs.filter(shared >= F.col("need")).select(*rest, "label", (shared / F.col("size")).alias("containment"))
+    return pairs.filter(shared >= F.col("need")).select(*rest, "label", "length", "need", "whole")
+
+
+def held(pairs: DataFrame) -> DataFrame:
+    """The pairs of which a block of the text holds the template, with the best block's containment.
+
+    pairs has spaced texts and the columns of matches().
+    """
+    # a block that starts at no word of the template holds no more than the one from the next such word on
+    starts = F.filter(F.transform("all", lambda w, i: F.when(F.array_contains("whole", w), i + 1)), lambda i: i.isNotNull())
+    shared = F.transform(starts, lambda i: F.size(F.array_intersect(F.slice("all", i, F.col("length") * BLOCK), "whole")))
+    pairs = pairs.withColumn("all", F.split(F.trim("spaced"), " ")).withColumn("shared", F.array_max(shared))
+    return pairs.filter(F.col("shared") >= F.col("need")).withColumn("containment", F.col("shared") / F.size("whole")).drop("all", "shared")
 
 
 def _places(text: Column, phrase: str) -> Column:
@@ -120,13 +137,13 @@ def scan(docs: DataFrame, containment: float = CONTAINMENT, templates=TEMPLATES)
     ordered = ordered_templates(rows.select(F.split(F.trim(low), " ").alias("words")), fixed, containment)
     ordered = written(ordered, "license-templates")
 
-    # every template has a word of these in each block that holds it
+    # every template has a word of these in each document that holds it
     tokens = [r.token for r in ordered.select(F.explode(F.slice("words", F.lit(1), F.size("words") - F.col("need") + 1)).alias("token")).distinct().collect()]
-    keyed = rows.select("doc_id", F.xxhash64("text").alias("tie"), "text", low.alias("spaced"))
+    vocabulary = sorted({w for r in ordered.select("words").collect() for w in r.words})
+    keyed = rows.select("doc_id", F.xxhash64("text").alias("tie"), low.alias("spaced"))
     maybe = keyed.filter(F.col("spaced").rlike(" (?:" + "|".join(sorted(tokens)) + ") "))
-    blocks = maybe.select("doc_id", "tie", F.explode(F.split("text", r"\n")).alias("block"))
-    blocks = blocks.select("doc_id", "tie", F.array_distinct(F.split(F.trim(spaced(F.col("block"))), " ")).alias("words"))
-    found = matches(blocks, ordered).groupBy("doc_id", "tie").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
+    maybe = maybe.withColumn("words", F.array_intersect(F.split(F.trim("spaced"), " "), F.array(*[F.lit(w) for w in vocabulary])))
+    found = held(matches(maybe, ordered)).groupBy("doc_id", "tie").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
 
     places = [(label, _places(F.col("spaced"), phrase)) for phrase, label in PHRASES.items()]
     any_phrase = F.col("spaced").rlike(" (?:" + "|".join(PHRASES) + ") ")

@@ -1,5 +1,6 @@
 import random
 import re
+import textwrap
 
 from seedloom.llm.licenses import CONTAINMENT, PHRASES, TEMPLATES, scan
 
@@ -42,3 +43,13 @@ def test_against_brute_force(spark):
     fields = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
     assert sorted(str((r.doc_id, *(r[f] for f in fields))) for r in got) == sorted(str((k, *brute(t))) for k, t in rows)
     assert scan(df.limit(0)).count() == 0
+
+
+def test_notices_wrapped_over_lines(spark):
+    texts = [f"first line\n\n# {mark.join(textwrap.wrap(t, 30))}\n\nlast line" for _, t in TEMPLATES for mark in ("\n", "\n# ", "\n\n * ")]
+    wanted = [label for label, _ in TEMPLATES for _ in range(3)]
+    scattered = TEMPLATES[2][1].replace(" ", " filler words between them ")
+    df = spark.createDataFrame([*enumerate(texts), (-1, scattered)], "doc_id long, text string")
+    got = {r.doc_id: r for r in scan(df).collect()}
+    assert all(label in got[i].labels.split(",") and got[i].score == 1.0 for i, label in enumerate(wanted))
+    assert got[-1].labels == "" and got[-1].score == 0.0
