@@ -59,17 +59,34 @@ TEMPLATES = (
     ("unlicense", "This is free and unencumbered software released into the public domain."),
 )
 
+#: The words by which a notice is told from those of other licenses. They must stand in a block in this order
+#: for those templates of the label that have them; texts of the other templates are long and hold little of each other.
+TELLING = {
+    "mit": ("mit license",),
+    "apache-2.0": ("apache license version 2 0",),
+    "gpl-3.0": ("gnu general public license version 3",),
+    "gpl-2.0": ("gnu general public license version 2",),
+    "gpl": ("gnu general public license",),
+    "lgpl": ("gnu lesser general public license",),
+    "mpl-2.0": ("mozilla public license v 2 0",),
+    "cc-by-4.0": ("creative commons attribution 4 0", "cc by 4 0"),
+    "cc-by-sa-4.0": ("cc by sa 4 0",),
+    "cc-by-nc-4.0": ("cc by nc 4 0",),
+    "unlicense": ("unencumbered software",),
+}
+
 
 def spaced(text: Column) -> Column:
     """Words of a text, A-Z lowered, joined and enclosed by single spaces."""
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(lower_ascii(F.coalesce(text.cast("string"), F.lit(""))), GAP, " ")), F.lit(" "))
 
 
-def template_rows(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
-    """template (number), label, length (all words), words (distinct)."""
-    rows = spark.createDataFrame([(i, label, text) for i, (label, text) in enumerate(templates)], "template int, label string, text string")
+def template_rows(spark: SparkSession, templates=TEMPLATES, telling=None) -> DataFrame:
+    """template (number), label, telling (its telling words, spaced; none unless given), length (all words), words (distinct)."""
+    rows = spark.createDataFrame([(i, label, text, [f" {p} " for p in (telling or {}).get(label, ())]) for i, (label, text) in enumerate(templates)], "template int, label string, text string, phrases array<string>")
     words = F.split(F.trim(spaced(F.col("text"))), " ")
-    return rows.select("template", "label", F.size(words).alias("length"), F.array_distinct(words).alias("words"))
+    own = F.filter("phrases", lambda p: spaced(F.col("text")).contains(p))
+    return rows.select("template", "label", own.alias("telling"), F.size(words).alias("length"), F.array_distinct(words).alias("words"))
 
 
 def ordered_templates(words: DataFrame, templates: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
@@ -79,18 +96,18 @@ def ordered_templates(words: DataFrame, templates: DataFrame, containment: float
     """
     wanted = [w for r in templates.select("words").collect() for w in r.words]  # the templates' own few hundred words
     seen = words.select(F.explode(F.array_intersect("words", F.array(*[F.lit(w) for w in sorted(set(wanted))]))).alias("word")).groupBy("word").count()
-    each = templates.select("template", "label", "length", F.explode("words").alias("word")).join(F.broadcast(seen), "word", "left")
+    each = templates.select("template", "label", "telling", "length", F.explode("words").alias("word")).join(F.broadcast(seen), "word", "left")
     order = F.transform(F.sort_array(F.collect_list(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "word"))), lambda x: x["word"])
-    return each.groupBy("template", "label", "length").agg(order.alias("words")).withColumn("need", F.ceil(F.size("words") * containment).cast("int"))
+    return each.groupBy("template", "label", "telling", "length").agg(order.alias("words")).withColumn("need", F.ceil(F.size("words") * containment).cast("int"))
 
 
 def matches(blocks: DataFrame, templates: DataFrame) -> DataFrame:
-    """The blocks' other columns with label, length, need and words (whole) of each template that a block holds.
+    """The blocks' other columns with label, telling, length, need and words (whole) of each template that a block holds.
 
     blocks has an array column `words` of distinct words.
     """
     rest = [c for c in blocks.columns if c != "words"]
-    prefix = templates.select("template", "label", "length", "need", F.size("words").alias("size"), F.col("words").alias("whole"), F.posexplode(F.slice("words", F.lit(1), F.size("words") - F.col("need") + 1)).alias("place", "token"))
+    prefix = templates.select("template", "label", "telling", "length", "need", F.size("words").alias("size"), F.col("words").alias("whole"), F.posexplode(F.slice("words", F.lit(1), F.size("words") - F.col("need") + 1)).alias("place", "token"))
     prefix = F.broadcast(prefix)  # a row for each prefix word of the fixed templates
     tokens = sorted({w for r in templates.select(F.slice("words", F.lit(1), F.size("words") - F.col("need") + 1).alias("p")).collect() for w in r.p})
     some = blocks.withColumn("_tokens", F.array_intersect("words", F.array(*[F.lit(t) for t in tokens])))
@@ -100,17 +117,21 @@ def matches(blocks: DataFrame, templates: DataFrame) -> DataFrame:
     first = F.array_position(F.transform("whole", lambda w: F.array_contains("words", w)), True) - 1
     pairs = pairs.filter(first == F.col("place"))
     shared = F.size(F.array_intersect("words", "whole"))
-    return pairs.filter(shared >= F.col("need")).select(*rest, "label", "length", "need", "whole")
+    return pairs.filter(shared >= F.col("need")).select(*rest, "label", "telling", "length", "need", "whole")
 
 
 def held(pairs: DataFrame) -> DataFrame:
-    """The pairs of which a block of the text holds the template, with the best block's containment.
+    """The pairs of which a block of the text holds the template and its telling words, with the best block's containment.
 
     pairs has spaced texts and the columns of matches().
     """
+    told = lambda text: (F.size("telling") == 0) | F.exists("telling", lambda p: text.contains(p))
+    pairs = pairs.filter(told(F.col("spaced")))
     # a block that starts at no word of the template holds no more than the one from the next such word on
     starts = F.filter(F.transform("all", lambda w, i: F.when(F.array_contains("whole", w), i + 1)), lambda i: i.isNotNull())
-    shared = F.transform(starts, lambda i: F.size(F.array_intersect(F.slice("all", i, F.col("length") * BLOCK), "whole")))
+    block = lambda i: F.slice("all", i, F.col("length") * BLOCK)
+    starts = F.filter(starts, lambda i: told(F.concat(F.lit(" "), F.array_join(block(i), " "), F.lit(" "))))
+    shared = F.transform(starts, lambda i: F.size(F.array_intersect(block(i), "whole")))
     pairs = pairs.withColumn("all", F.split(F.trim("spaced"), " ")).withColumn("shared", F.array_max(shared))
     return pairs.filter(F.col("shared") >= F.col("need")).withColumn("containment", F.col("shared") / F.size("whole")).drop("all", "shared")
 
@@ -123,17 +144,18 @@ def _places(text: Column, phrase: str) -> Column:
     return F.when(F.size(gaps) > 1, before).otherwise(F.array().cast("array<int>"))
 
 
-def scan(docs: DataFrame, containment: float = CONTAINMENT, templates=TEMPLATES) -> DataFrame:
+def scan(docs: DataFrame, containment: float = CONTAINMENT, templates=TEMPLATES, telling=None) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of each row.
 
     score is 1 where a phrase stands, else the best containment of a template
-    that a block of the text holds, else 0. Null text has no words. Rows that share an id are
+    that a block of the text holds, else 0. With telling (TELLING), the block must also hold the
+    template's telling words; without, notices of like wording get each other's labels. Null text has no words. Rows that share an id are
     told apart by their texts; equal rows have equal results; null ids are kept.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     low = spaced(F.col("text"))
-    fixed = template_rows(spark, templates)
+    fixed = template_rows(spark, templates, telling)
     ordered = ordered_templates(rows.select(F.split(F.trim(low), " ").alias("words")), fixed, containment)
     ordered = written(ordered, "license-templates")
 
@@ -168,4 +190,4 @@ def scan(docs: DataFrame, containment: float = CONTAINMENT, templates=TEMPLATES)
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(table(spark, sf_dir, "documents"))
+    return scan(table(spark, sf_dir, "documents"), telling=TELLING)

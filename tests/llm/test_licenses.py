@@ -2,7 +2,7 @@ import random
 import re
 import textwrap
 
-from seedloom.llm.licenses import CONTAINMENT, PHRASES, TEMPLATES, scan
+from seedloom.llm.licenses import CONTAINMENT, PHRASES, TEMPLATES, op10_licenses, scan
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 low = lambda t: "".join(c.lower() if c.isascii() else c for c in t)
@@ -53,3 +53,19 @@ def test_notices_wrapped_over_lines(spark):
     got = {r.doc_id: r for r in scan(df).collect()}
     assert all(label in got[i].labels.split(",") and got[i].score == 1.0 for i, label in enumerate(wanted))
     assert got[-1].labels == "" and got[-1].score == 0.0
+
+
+def test_query_tells_licenses_apart(spark, tmp_path):
+    of = {t: ",".join(sorted({label} | {b for p, b in PHRASES.items() if p in " ".join(words(t))})) for label, t in TEMPLATES}
+    of |= {
+        "licensed under the GNU General Public License, version 3": "gpl",
+        "He was licensed under the law, and the license was his": "",
+        "Licensed under CC BY-ND 4.0.": "cc-by",
+        "Licensed under a CC BY-NC 4.0 license": "cc-by,cc-by-nc-4.0",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation": "lgpl",
+        "This is free software released into the public domain": "",
+        "Licensed under the MIT\nLicense. Licensed under the\nApache License, Version 2.0.": "apache,apache-2.0,mit",
+    }
+    texts = list(of)
+    spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {texts[r.doc_id]: r.labels for r in op10_licenses(spark, str(tmp_path)).collect()} == of
