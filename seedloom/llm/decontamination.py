@@ -8,6 +8,10 @@ has placeholders, the benchmark's value and the document's form a slot; a
 value that stands for two different ones along one alignment is inconsistent,
 and the windows with such slots don't count. A document that keeps at least
 half of an item's windows holds the item, perhaps with other parameters.
+Besides, each window is held against the document's own words in folded case: so
+copies of items of mostly numbers or names, and in other case, are found by at
+least half of the item's distinct windows of own words; items of fewer than five words by one
+window of all their words.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from .common import table, written
 WINDOW = 5
 #: Share of an item's windows that a document must hold.
 CONTAINMENT = 0.5
-#: A benchmark window with fewer plain words says too little.
+#: A benchmark window with fewer plain words says too little as a template; its own words are still looked for.
 PLAIN = 3
 #: Windows of the benchmark up to which they are broadcast; about 100 bytes each.
 MOST_BROADCAST = 500_000
@@ -52,72 +56,94 @@ def template(words: Column) -> Column:
     return F.regexp_replace(F.lower(t), rf"[^\p{{L}}\p{{N}} {NUMBER}{NAME}{UNIT}]+", "")
 
 
-def index(benchmark: DataFrame) -> DataFrame:
-    """item_id, item_at, own and kinds (words of the window, raw and template), h (hash of kinds), n_windows of the item,
-    anchor and its place: the longest plain word of the window, by which it is looked up."""
-    rows = benchmark.filter(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), plain_words(F.col("text")).alias("plain"))
-    rows = rows.select("item_id", F.split("plain", " ").alias("own"), F.split(template(F.col("plain")), " ").alias("words")).filter(F.size("words") >= WINDOW).distinct()
-    places = F.sequence(F.lit(1), F.size("words") - WINDOW + 1)
-    rows = rows.select("item_id", F.posexplode(F.transform(places, lambda i: F.struct(F.slice("words", i, WINDOW).alias("kinds"), F.slice("own", i, WINDOW).alias("own")))).alias("at", "w"))
-    rows = rows.select("item_id", F.col("at").alias("item_at"), F.xxhash64("w.kinds").alias("h"), "w.own", "w.kinds")
-    literal = F.filter("kinds", lambda k: ~k.isin(NUMBER, NAME, UNIT))
-    rows = rows.filter(F.size(literal) >= PLAIN)
-    n = rows.groupBy("item_id").agg(F.countDistinct("h").alias("n_windows"))
-    longest = F.array_max(F.transform(F.col("kinds"), lambda k, i: F.struct(F.when(k.isin(NUMBER, NAME, UNIT), F.lit(0)).otherwise(F.length(k)).alias("n"), k.alias("word"), i.alias("place"))))
-    return rows.join(n, "item_id").withColumn("longest", longest).select("*", F.col("longest.word").alias("anchor"), F.col("longest.place").alias("place")).drop("longest")
+def folded(words: Column) -> Column:
+    """Words in folded case without marks: as many words. A plain word of a template folds to the same."""
+    return F.regexp_replace(F.lower(F.upper(words)), r"[^\p{L}\p{N} ]+", "")
+
+
+def index(benchmark: DataFrame, shortest: int = WINDOW) -> DataFrame:
+    """item_id, item_at, own and kinds (words of the window, raw and template), h (hash of kinds; null where too few are plain),
+    own_h (hash of the folded words), width (words of the window), n_windows and n_own of the item (distinct h and own_h),
+    anchor and its place: the longest plain word of the window, folded, by which it is looked up, or the longest of any kind where h is null.
+
+    Items of fewer words than a window have one, of all their words, if they have `shortest` words.
+    """
+    rows = benchmark.filter(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), plain_words(F.col("text")).alias("plain")).filter("plain != ''")
+    rows = rows.select("item_id", F.split("plain", " ").alias("own"), F.split(template(F.col("plain")), " ").alias("words"), F.split(folded(F.col("plain")), " ").alias("low")).filter(F.size("words") >= shortest).distinct()
+    width = F.least(F.size("words"), F.lit(WINDOW))
+    places = F.sequence(F.lit(1), F.size("words") - width + 1)
+    rows = rows.select("item_id", width.alias("width"), F.posexplode(F.transform(places, lambda i: F.struct(F.slice("words", i, width).alias("kinds"), F.slice("own", i, width).alias("own"), F.slice("low", i, width).alias("low")))).alias("at", "w"))
+    literal = F.size(F.filter("w.kinds", lambda k: ~k.isin(NUMBER, NAME, UNIT)))
+    kept = (F.col("width") == WINDOW) & (literal >= PLAIN)
+    rows = rows.select("item_id", "width", F.col("at").alias("item_at"), F.when(kept, F.xxhash64("w.kinds")).alias("h"), F.xxhash64("w.low").alias("own_h"), "w.own", "w.kinds", "w.low")
+    n = rows.groupBy("item_id").agg(F.countDistinct("h").alias("n_windows"), F.countDistinct("own_h").alias("n_own"))
+    typed = lambda i: F.col("h").isNotNull() & F.get("kinds", i).isin(NUMBER, NAME, UNIT)
+    longest = F.array_max(F.transform(F.col("low"), lambda k, i: F.struct(F.when(typed(i), F.lit(0)).otherwise(F.length(k)).alias("n"), k.alias("word"), i.alias("place"))))
+    return rows.join(n, "item_id").withColumn("longest", longest).select("*", F.col("longest.word").alias("anchor"), F.col("longest.place").alias("place")).drop("longest", "low")
 
 
 def hits(docs: DataFrame, wanted: DataFrame, *keys: str) -> DataFrame:
-    """keys, at (a window's place) and the columns of the equal benchmark window, raw: the document's own words there.
+    """keys, at (a window's place) and the columns of the equal benchmark window, raw: the document's own words there,
+    as_template and as_own: whether the templates are equal, and the folded words.
 
     Each word of a document is looked up among the anchors; only where it is
-    one, the window around it is cut out and its hash held against the benchmark's.
+    one, the window around it is cut out and its hashes held against the benchmark's.
     """
     rows = docs.select(*keys, plain_words(F.col("text")).alias("plain"))
-    rows = rows.select(*keys, "plain", F.split(template(F.col("plain")), " ").alias("words"))
+    rows = rows.select(*keys, "plain", F.split(template(F.col("plain")), " ").alias("words"), F.split(folded(F.col("plain")), " ").alias("low"))
     # outer: a filter that the optimizer infers for an inner one would canonicalise each text twice
-    rows = rows.select(*keys, "plain", "words", F.posexplode_outer("words").alias("p", "anchor"))
+    rows = rows.select(*keys, "plain", "words", "low", F.posexplode_outer("low").alias("p", "anchor"))
     at = F.col("p") - F.col("place")
-    found = rows.join(wanted, "anchor").filter((at >= 0) & (at + WINDOW <= F.size("words")))
-    found = found.filter(F.xxhash64(F.slice("words", F.greatest(at, F.lit(0)) + 1, WINDOW)) == F.col("h"))
-    return found.select(*keys, at.alias("at"), *wanted.drop("anchor", "place").columns, F.slice(F.split("plain", " "), at + 1, WINDOW).alias("raw"))
+    found = rows.join(wanted, "anchor").filter((at >= 0) & (at + F.col("width") <= F.size("words")))
+    cut = lambda c: F.xxhash64(F.slice(c, F.greatest(at, F.lit(0)) + 1, F.col("width")))
+    as_template, as_own = F.coalesce(cut("words") == F.col("h"), F.lit(False)), cut("low") == F.col("own_h")
+    found = found.filter(as_template | as_own)
+    return found.select(*keys, at.alias("at"), *wanted.drop("anchor", "place").columns, F.slice(F.split("plain", " "), at + 1, F.col("width")).alias("raw"), as_template.alias("as_template"), as_own.alias("as_own"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, containment: float = CONTAINMENT, shortest: int = WINDOW) -> DataFrame:
     """doc_id, tie, item_id, n_found, n_windows, containment, reparameterised.
 
     A row for each document and item of which the document holds at least that
-    share of windows. tie is a hash of the text: rows that share an id (or have none) are judged each
+    share of windows, as templates or by its own words, whichever is more (n_found and n_windows are of these). tie is a hash of the text: rows that share an id (or have none) are judged each
     by its own text, and equal rows give one result. Null and empty
-    texts hold nothing; items of fewer than five words, or with too few plain
-    ones, can't be found; rows without item_id are ignored.
+    texts hold nothing; items of fewer words than `shortest` aren't looked for; rows without item_id are ignored.
     """
-    wanted = index(benchmark)
+    wanted = index(benchmark, shortest)
     if wanted.count() <= MOST_BROADCAST:
         wanted = F.broadcast(wanted)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("tie"), "text")
-    found = hits(keyed, wanted, "doc_id", "tie").select("doc_id", "tie", "item_id", "h", "n_windows", (F.col("at") - F.col("item_at")).alias("diagonal"), F.filter(F.arrays_zip(F.col("kinds").alias("kind"), F.col("own").alias("item"), F.col("raw").alias("doc")), lambda x: x["kind"].isin(NUMBER, NAME, UNIT)).alias("slots")).distinct()
+    found = hits(keyed, wanted, "doc_id", "tie").select("doc_id", "tie", "item_id", "h", "own_h", "n_windows", "n_own", "as_template", "as_own", (F.col("at") - F.col("item_at")).alias("diagonal"), F.filter(F.arrays_zip(F.col("kinds").alias("kind"), F.col("own").alias("item"), F.col("raw").alias("doc")), lambda x: x["kind"].isin(NUMBER, NAME, UNIT)).alias("slots")).distinct()
     found = written(found, "decontamination-hits")
     line = ["doc_id", "tie", "item_id", "diagonal"]
-    slots = found.select(*line, F.explode("slots").alias("s")).select(*line, F.col("s.kind").alias("kind"), F.col("s.item").alias("item"), F.col("s.doc").alias("doc"))
+    slots = found.filter("as_template").select(*line, F.explode("slots").alias("s")).select(*line, F.col("s.kind").alias("kind"), F.col("s.item").alias("item"), F.col("s.doc").alias("doc"))
     torn = slots.groupBy(*line, "kind", "item").agg(F.countDistinct("doc").alias("n")).filter("n > 1")
     torn = torn.groupBy(*line).agg(F.collect_set(F.struct("kind", "item")).alias("torn"))  # an item's values at most
     same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in line]
     judged = found.alias("a").join(torn.alias("b"), same, "left").select("a.*", "b.torn")
     bad = F.exists("slots", lambda s: F.array_contains(F.col("torn"), F.struct(s["kind"].alias("kind"), s["item"].alias("item"))))
-    judged = judged.filter(F.col("torn").isNull() | ~bad)
+    sound = F.col("as_template") & (F.col("torn").isNull() | ~bad)
     changed = F.exists("slots", lambda s: s["item"] != s["doc"])
-    found = judged.groupBy("doc_id", "tie", "item_id").agg(F.countDistinct("h").alias("n_found"), F.max("n_windows").alias("n_windows"), F.max(changed).alias("reparameterised"))
-    share = F.col("n_found") / F.col("n_windows")
-    return found.select("doc_id", "tie", "item_id", "n_found", "n_windows", share.alias("containment"), "reparameterised").filter(F.col("containment") >= containment)
+    found = judged.groupBy("doc_id", "tie", "item_id").agg(
+        F.countDistinct(F.when(sound, F.col("h"))).alias("n_template"),
+        F.countDistinct(F.when(F.col("as_own"), F.col("own_h"))).alias("n_same"),
+        F.max("n_windows").alias("n_windows"),
+        F.max("n_own").alias("n_own"),
+        F.coalesce(F.max(F.when(sound, changed)), F.lit(False)).alias("changed"),
+    )
+    by_template = F.when(F.col("n_windows") > 0, F.col("n_template") / F.col("n_windows")).otherwise(F.lit(0.0))
+    by_own = F.col("n_same") / F.col("n_own")
+    own = by_own > by_template
+    found = found.select("doc_id", "tie", "item_id", F.when(own, F.col("n_same")).otherwise(F.col("n_template")).alias("n_found"), F.when(own, F.col("n_own")).otherwise(F.col("n_windows")).alias("n_windows"), F.greatest(by_own, by_template).alias("containment"), (~own & F.col("changed")).alias("reparameterised"))
+    return found.filter(F.col("containment") >= containment)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
     """docs without the rows that hold a benchmark item."""
-    bad = contaminated(docs, benchmark, containment).select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie")).distinct()
+    bad = contaminated(docs, benchmark, containment, shortest=1).select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie")).distinct()
     match = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_tie"))
     return docs.join(bad, match, "left_anti")
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("tie")
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), shortest=1).drop("tie")

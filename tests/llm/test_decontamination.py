@@ -1,6 +1,6 @@
 import random
 
-from seedloom.llm.decontamination import contaminated, decontaminate
+from seedloom.llm.decontamination import contaminated, decontaminate, op2_decontamination
 
 ITEM = "A farmer has 12 cows and sells them to Maria for 300 dollars each so how much does Maria pay him in total for all the 12 cows"
 
@@ -63,3 +63,17 @@ def test_repeated_ids_and_no_rows(spark):
     assert [r.text for r in decontaminate(docs, bench).collect()] == ["clean words only here"]
     assert contaminated(docs, bench).count() == 2
     assert contaminated(docs.limit(0), bench).count() == 0 and contaminated(docs, bench.limit(0)).count() == 0
+
+
+def test_verbatim_copies_of_numbers_names_short_and_other_case(spark, tmp_path):
+    items = ["What is 12 + 7 * 3 - 4 / 2 ?", "Present were Ann Bell, Bob Cole, Cid Dorn, Eve Farr, Gus Hall", "Define marginal utility", "Then Maria Lopez and Oscar Stone of Grand Rapids met Peter Quill there"]
+    around = "some words before it {} and more words after"
+    texts = [around.format(f(t)) for t in items for f in (str, str.lower, str.upper)] + [around.format("What is 13 + 8 * 4 - 5 / 3 ?"), around.format("define utility marginal")]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = op2_decontamination(spark, str(tmp_path)).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(d, d // 3) for d in range(12)}
+    assert all(r.containment == 1.0 and not r.reparameterised for r in got)
+    assert {r.doc_id for r in decontaminate(docs, bench).collect()} == {12, 13}
