@@ -127,21 +127,30 @@ def held(pairs: DataFrame) -> DataFrame:
     """
     told = lambda text: (F.size("telling") == 0) | F.exists("telling", lambda p: text.contains(p))
     pairs = pairs.filter(told(F.col("spaced")))
-    # a block that starts at no word of the template holds no more than the one from the next such word on
-    starts = F.filter(F.transform("all", lambda w, i: F.when(F.array_contains("whole", w), i + 1)), lambda i: i.isNotNull())
-    block = lambda i: F.slice("all", i, F.col("length") * BLOCK)
-    starts = F.filter(starts, lambda i: told(F.concat(F.lit(" "), F.array_join(block(i), " "), F.lit(" "))))
-    shared = F.transform(starts, lambda i: F.size(F.array_intersect(block(i), "whole")))
-    pairs = pairs.withColumn("all", F.split(F.trim("spaced"), " ")).withColumn("shared", F.array_max(shared))
-    return pairs.filter(F.col("shared") >= F.col("need")).withColumn("containment", F.col("shared") / F.size("whole")).drop("all", "shared")
+
+    def best(words: Column) -> Column:
+        # word by word: slice() takes time for the whole array
+        block = lambda i: F.transform(F.sequence(i, F.least(i + F.col("length") * BLOCK, F.size(words)) - 1), lambda j: F.get(words, j))
+        # a block that starts at no word of the template holds no more than the one from the next such word on
+        starts = F.filter(F.transform(words, lambda w, i: F.when(F.array_contains("whole", w), i)), lambda i: i.isNotNull())
+        held = lambda b: F.when(told(F.concat(F.lit(" "), F.array_join(b, " "), F.lit(" "))), F.size(F.array_intersect(b, "whole")))
+        return F.array_max(F.transform(starts, lambda i: F.get(F.transform(F.array(block(i)), held), 0)))
+
+    # bound as a lambda's variable, the words are split once
+    pairs = pairs.withColumn("shared", F.get(F.transform(F.array(F.split(F.trim("spaced"), " ")), best), 0))
+    return pairs.filter(F.col("shared") >= F.col("need")).withColumn("containment", F.col("shared") / F.size("whole")).drop("shared")
 
 
 def _places(text: Column, phrase: str) -> Column:
-    """Numbers of the words, from 0, at which the phrase starts in a spaced text."""
+    """n, first, last: how often the phrase starts in a spaced text, and the first and last word, from 0, at which it does.
+
+    The words before the first place and after the last one are counted, so that the time grows with the text alone.
+    """
     gaps = F.split(text, f"(?<= ){phrase}(?= )", -1)
-    spaces = F.transform(gaps, lambda g: F.length(g) - F.length(F.replace(g, F.lit(" "), F.lit(""))))
-    before = F.transform(F.sequence(F.lit(1), F.size(gaps) - 1), lambda i: F.aggregate(F.slice(spaces, 1, i), F.lit(0), lambda a, x: a + x) + (i - 1) * F.lit(phrase.count(" ")) - 1)
-    return F.when(F.size(gaps) > 1, before).otherwise(F.array().cast("array<int>"))
+    words = lambda t: F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit(""))) - 1
+    n = F.size(gaps) - 1
+    last = words(text) - words(F.element_at(gaps, -1)) - (phrase.count(" ") + 1)
+    return F.when(n > 0, F.struct(n.alias("n"), words(gaps[0]).alias("first"), last.alias("last")))
 
 
 def scan(docs: DataFrame, containment: float = CONTAINMENT, templates=TEMPLATES, telling=None) -> DataFrame:
@@ -150,7 +159,8 @@ def scan(docs: DataFrame, containment: float = CONTAINMENT, templates=TEMPLATES,
     score is 1 where a phrase stands, else the best containment of a template
     that a block of the text holds, else 0. With telling (TELLING), the block must also hold the
     template's telling words; without, notices of like wording get each other's labels. Null text has no words. Rows that share an id are
-    told apart by their texts; equal rows have equal results; null ids are kept.
+    told apart by their texts; equal rows have equal results; null ids are kept; an empty table gives no rows;
+    other columns are not read. The time of a text grows with its words, however many notices it holds.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -171,18 +181,18 @@ def scan(docs: DataFrame, containment: float = CONTAINMENT, templates=TEMPLATES,
     any_phrase = F.col("spaced").rlike(" (?:" + "|".join(PHRASES) + ") ")
     n_words = F.length("spaced") - F.length(F.replace("spaced", F.lit(" "), F.lit("")))
     out = keyed.select("doc_id", "tie", F.when(F.trim("spaced") == "", F.lit(0)).otherwise(n_words - 1).cast("long").alias("n_words"), F.when(any_phrase, F.struct(*(p.alias(label) for label, p in places))).alias("p"))
-    every = F.flatten(F.array(*(F.col("p").getField(label) for label, _ in places)))
-    names = F.filter(F.array(*(F.when(F.size(F.col("p").getField(label)) > 0, F.lit(label)) for label, _ in places)), lambda x: x.isNotNull())
-    base = out.select("doc_id", "tie", "n_words", F.when(F.col("p").isNotNull(), every).alias("at"), F.when(F.col("p").isNotNull(), names).otherwise(F.array().cast("array<string>")).alias("base"))
+    places = F.filter(F.array(*(F.when(F.col("p").getField(label).isNotNull(), F.struct(F.lit(label).alias("label"), F.col("p").getField(label).alias("p"))) for label, _ in places)), lambda x: x.isNotNull())
+    base = out.select("doc_id", "tie", "n_words", F.when(F.col("p").isNotNull(), places).otherwise(F.array().cast("array<struct<label:string,p:struct<n:int,first:int,last:int>>>")).alias("at"))
+    base = base.select("doc_id", "tie", "n_words", "at", F.col("at.label").alias("base"))
     same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.tie") == F.col("b.tie"))
     rows = base.alias("a").join(found.alias("b"), same, "left").select("a.*", "b.more", "b.best")
     labels = F.array_union("base", F.coalesce("more", F.array().cast("array<string>")))
     return rows.select(
         "doc_id",
         "n_words",
-        F.coalesce(F.size("at"), F.lit(0)).cast("long").alias("n_base"),
-        F.array_min("at").cast("long").alias("first_word"),
-        F.array_max("at").cast("long").alias("last_word"),
+        F.aggregate(F.col("at.p.n"), F.lit(0).cast("long"), lambda a, x: a + x).alias("n_base"),
+        F.array_min(F.col("at.p.first")).cast("long").alias("first_word"),
+        F.array_max(F.col("at.p.last")).cast("long").alias("last_word"),
         F.array_join(F.sort_array("base"), ",").alias("base_labels"),
         F.array_join(F.sort_array(labels), ",").alias("labels"),
         F.when(F.size("base") > 0, F.lit(1.0)).otherwise(F.coalesce("best", F.lit(0.0))).alias("score"),

@@ -1,8 +1,9 @@
 import random
 import re
 import textwrap
+import time
 
-from seedloom.llm.licenses import CONTAINMENT, PHRASES, TEMPLATES, op10_licenses, scan
+from seedloom.llm.licenses import CONTAINMENT, PHRASES, TELLING, TEMPLATES, op10_licenses, scan
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 low = lambda t: "".join(c.lower() if c.isascii() else c for c in t)
@@ -69,3 +70,13 @@ def test_query_tells_licenses_apart(spark, tmp_path):
     texts = list(of)
     spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert {texts[r.doc_id]: r.labels for r in op10_licenses(spark, str(tmp_path)).collect()} == of
+
+
+def test_long_texts_with_many_notices(spark):
+    texts = ["mit license " * 20_000, "cc by " * 100_000 + "4.0", "Licensed under the MIT License. " * 3_000, "- " * 200_000, "the " * 100_000, "x" * 500_000, ("word " * 50_000) + "Apache License"]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(4)
+    start = time.perf_counter()
+    got = {r.doc_id: r for r in scan(df, telling=TELLING).collect()}
+    assert time.perf_counter() - start < 60
+    assert [(got[i].n_base, got[i].first_word, got[i].last_word, got[i].n_words) for i in range(7)] == [(20_000, 0, 39_998, 40_000), (100_000, 0, 199_998, 200_002), (3_000, 3, 14_998, 15_000), (0, None, None, 0), (0, None, None, 100_000), (0, None, None, 1), (1, 50_000, 50_000, 50_002)]
+    assert [got[i].base_labels for i in range(7)] == ["mit", "cc-by", "mit", "", "", "", "apache"]
