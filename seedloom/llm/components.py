@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 #: Far more rounds than any graph of this size has needed.
 MOST_ROUNDS = 60
@@ -35,7 +35,8 @@ def components(edges: DataFrame) -> DataFrame:
     files = max(6, now.count() // ROWS_IN_FILE)
     before = None
     for _ in range(MOST_ROUNDS):
-        now = written(_stars(_stars(now, True), False).coalesce(files), "components")
+        last, now = now, written(_stars(_stars(now, True), False).coalesce(files), "components")
+        discard(last)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             nodes = now.select(F.col("a").alias("node"), F.col("b").alias("root"))

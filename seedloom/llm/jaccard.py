@@ -1,15 +1,20 @@
 """Exact Jaccard join of word shingle sets with a prefix tree.
 
 1. Equal sets are one node, the smallest doc_id of those that have it.
-2. Shingles are put in one order, frequent ones last. A set that links to another
-   shares at least l shingles with it among the first |x| - ceil(t |x|) + l of both.
-   With l about half of |x| - ceil(t |x|) + 1, sets of whose prefix fewer stand in any other prefix are done.
-3. What shares prefix shingles, however indirectly, is a cluster. Larger clusters are
-   dealt into chunks, each pair of chunks one task, so that a task has a bounded number of shingles.
-4. A task stores its sets in a compressed trie and walks it with each set: sets
-   with equal beginnings share the overlap counted so far, and a subtree whose
-   remaining lengths can't reach the threshold is left out.
-5. Links go to connected components; copies get their node's result.
+2. Shingles have one order everywhere, frequent ones last for prefixes, first in the
+   tree. A set that links to another shares at least l shingles with it among the first
+   |x| - ceil(t |x|) + l of both. With l about half of |x| - ceil(t |x|) + 1, sets of whose
+   prefix fewer stand in any other prefix are done.
+3. A set is stored once, with its home: the shingle of its prefix that most prefixes have.
+   It asks at the homes of all sets that share a prefix shingle with it, if the sets there
+   have at least l of its shingles together. Who links, meets there.
+4. Homes beyond a fair share of all rows are dealt into chunks, stored by asking, each pair of
+   them one piece of work; small homes are put together.
+5. A task stores a home's sets in a prefix tree and walks it, level by level, with all
+   sets that ask: sets with equal beginnings share the overlap counted so far,
+   and a subtree whose remaining lengths can't reach the threshold is left out.
+6. A task sends, besides counts, one edge for each node of its stars, not its pairs. These
+   go to connected components; copies get their node's result.
 
 Nothing is capped: the order of shingles only changes the work, not the links.
 """
@@ -22,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import discard, ids_fit, table, unused, written
 from .components import components
 from .hashing import Rolled, U, word_hashes
 from .tokenizing import slices
@@ -32,8 +37,12 @@ WORDS = 4
 PERCENT = 85
 #: Counted shingles that tasks keep in memory for the order; the most frequent ones.
 MOST_FREQUENT = 300_000
-#: Shingles of a chunk.
-CHUNK = 1_000_000
+#: Shingles of a chunk, and the fewest sets that are worth parting.
+CHUNK, FEWEST = 1_000_000, 100
+#: Shingles of the pieces of work that are put together in a task.
+TASK = 4_000_000
+#: Shingles of one edge of the tree; bytes that a step of the walk takes.
+EDGE, STEP = 8, 32_000_000
 #: Ids up to which a table is broadcast, 16 bytes each.
 MOST_BROADCAST = 500_000
 
@@ -97,13 +106,18 @@ def prefix(n, percent: int = PERCENT):
     return spare(n) + some(n), some(-(-percent * n // 100))
 
 
-def in_order(s: np.ndarray, known: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The set's shingles, those that aren't frequent first, by hash."""
+def uses(shingles: np.ndarray, known: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """How often each shingle stands in the corpus, 0 for those that aren't frequent."""
     h, n = known
     if not len(h):
-        return s
-    at = np.minimum(np.searchsorted(h, s), len(h) - 1)
-    return s[np.lexsort((s, np.where(h[at] == s, n[at], 0)))]
+        return np.zeros(len(shingles), np.int64)
+    at = np.minimum(np.searchsorted(h, shingles), len(h) - 1)
+    return np.where(h[at] == shingles, n[at], 0)
+
+
+def in_order(s: np.ndarray, known: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The set's shingles, those that aren't frequent first, by hash."""
+    return s[np.lexsort((s, uses(s, known)))]
 
 
 def least_overlap(a, b, percent: int = PERCENT):
@@ -112,121 +126,179 @@ def least_overlap(a, b, percent: int = PERCENT):
 
 
 class Trie:
-    """A compressed prefix tree of sets, in arrays: a node has a run of tokens and a range of leaves."""
-
-    def __init__(self, sets: list[np.ndarray]):
-        tokens, where, uses = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        self.tokens = tokens
-        rank = np.empty(len(tokens), np.int64)
-        rank[np.lexsort((tokens, -uses))] = np.arange(len(tokens))  # common ones near the root
-        self.rank = rank
-        cuts = np.cumsum([len(s) for s in sets])[:-1]
-        seqs = [np.sort(r) for r in np.split(rank[where], cuts)]
-        order = sorted(range(len(seqs)), key=lambda i: seqs[i].astype(">i8").tobytes())
-        self.leaf = np.array(order)
-        seqs = [seqs[i] for i in order]
-        self.sizes = np.array([len(s) for s in seqs])
-        nodes: list[list[int]] = [[0, 0, 0, -1, 0, -1]]  # sequence, from, to, parent, first leaf, last leaf
-        stack = [0]
-        for k, s in enumerate(seqs):
-            common = 0
-            if k:
-                m = min(len(s), len(seqs[k - 1]))
-                differ = np.flatnonzero(s[:m] != seqs[k - 1][:m])
-                common = int(differ[0]) if len(differ) else m
-            while nodes[stack[-1]][2] > common:
-                low = stack.pop()
-                nodes[low][5] = k
-                up = nodes[stack[-1]]
-                if up[2] < common:  # the run is parted
-                    nodes.append([nodes[low][0], up[2], common, stack[-1], nodes[low][4], -1])
-                    nodes[low][1], nodes[low][3] = common, len(nodes) - 1
-                    stack.append(len(nodes) - 1)
-                    break
-            nodes.append([k, common, len(s), stack[-1], k, -1])
-            stack.append(len(nodes) - 1)
-        for x in stack:
-            nodes[x][5] = len(seqs)
-        arr = np.array(nodes, np.int64)
-        self.parent, self.lo, self.hi, self.end = arr[:, 3], arr[:, 4], arr[:, 5], arr[:, 2]
-        self.run = np.concatenate([seqs[k][a:b] for k, a, b in arr[:, :3].tolist()]) if len(seqs) else np.zeros(0, np.int64)
-        self.at = np.concatenate([[0], np.cumsum(arr[:, 2] - arr[:, 1])])
-        children: list[list[int]] = [[] for _ in nodes]
-        for x in range(1, len(arr)):
-            children[nodes[x][3]].append(x)
-        level, self.levels = [0], []
-        while level:
-            self.levels.append(np.array(level))
-            level = [c for x in level for c in children[x]]
-        own = [self.sizes[a:b] for a, b in zip(self.lo.tolist(), self.hi.tolist())]
-        self.smallest, self.longest = np.array([x.min() for x in own]), np.array([x.max() for x in own])
+    """A prefix tree of ordered sets: an edge holds up to EDGE shingles, sets with equal beginnings share its nodes.
+
+    A level has, for each node, its edge's tokens (the number after the last one stands for
+    none), its parent's place, the sizes of the smallest and longest set below, and
+    the places and nodes of the sets that end there.
+    """
+
+    def __init__(self, sets: list[np.ndarray], known: tuple[np.ndarray, np.ndarray] = (np.zeros(0, U), np.zeros(0, np.int64))):
+        self.sizes = np.array([len(x) for x in sets])
+        cuts = np.concatenate([[0], np.cumsum(self.sizes)])
+        self.tokens, where = np.unique(np.concatenate(sets), return_inverse=True)
+        none = len(self.tokens)
+        rank = np.empty(none, np.int64)
+        rank[np.lexsort((self.tokens, -uses(self.tokens, known)))] = np.arange(none)
+        self.at_rank = rank
+        which = np.repeat(np.arange(len(sets)), self.sizes)
+        flat = rank[where][np.lexsort((rank[where], which))]
+        self.levels = []
+        node = np.zeros(len(sets), np.int64)  # of each set, in the level before
+        for begin in range(0, int(self.sizes.max()), EDGE):
+            own = np.flatnonzero(self.sizes > begin)
+            at = cuts[own][:, None] + begin + np.arange(EDGE)
+            inside = begin + np.arange(EDGE) < self.sizes[own][:, None]
+            block = np.where(inside, flat[np.minimum(at, len(flat) - 1)], none)
+            rows, place = np.unique(np.column_stack([node[own], block]), axis=0, return_inverse=True)
+            place = place.reshape(-1)
+            small, long_ = np.full(len(rows), np.iinfo(np.int64).max), np.zeros(len(rows), np.int64)
+            np.minimum.at(small, place, self.sizes[own])
+            np.maximum.at(long_, place, self.sizes[own])
+            ends = self.sizes[own] <= begin + EDGE
+            self.levels.append((rows[:, 0], rows[:, 1:], small, long_, own[ends], place[ends]))
+            node[own] = place
+        self.widest = max(len(x[0]) for x in self.levels)
 
     def linked(self, own: np.ndarray, percent: int) -> np.ndarray:
-        """Places, in the list of sets, of those that link with this set."""
-        at = np.minimum(np.searchsorted(self.tokens, own), len(self.tokens) - 1)
-        mark = np.zeros(len(self.tokens), bool)
-        mark[self.rank[at[self.tokens[at] == own]]] = True
-        sums = np.concatenate([[0], np.cumsum(mark[self.run])])
-        edge = sums[self.at[1:]] - sums[self.at[:-1]]
-        shared = np.zeros(len(self.parent), np.int64)
-        alive = np.zeros(len(self.parent), bool)
-        alive[0] = True
-        n = len(own)
-        out = []
-        for k, level in enumerate(self.levels):
-            if k:
-                level = level[alive[self.parent[level]]]
-            if not len(level):
+        """Places of the stored sets that link with one set."""
+        return self.links([own], percent)[1]
+
+    def links(self, asking: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of asking and of stored sets that link, pair by pair."""
+        each = max(1, STEP // max(self.widest * EDGE, len(self.tokens) + 1))
+        found = [self._walked(asking[k : k + each], percent, k) for k in range(0, len(asking), each)]
+        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+    def _walked(self, asking: list[np.ndarray], percent: int, first: int) -> tuple[np.ndarray, np.ndarray]:
+        mark = np.zeros((len(asking), len(self.tokens) + 1), np.uint8)
+        for k, own in enumerate(asking):
+            at = np.minimum(np.searchsorted(self.tokens, own), len(self.tokens) - 1)
+            mark[k, self.at_rank[at[self.tokens[at] == own]]] = 1
+        n = np.array([len(x) for x in asking])[:, None]
+        alive, shared = np.ones((len(asking), 1), bool), np.zeros((len(asking), 1), np.int64)
+        nodes = np.zeros(1, np.int64)  # those of the level before that are still walked
+        out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
+        for k, (parent, block, small, long_, ended, of) in enumerate(self.levels):
+            up = np.minimum(np.searchsorted(nodes, parent), len(nodes) - 1)
+            kept = np.flatnonzero(nodes[up] == parent)
+            up = up[kept]
+            got = shared[:, up] + mark[:, block[kept].ravel()].reshape(len(asking), len(kept), EDGE).sum(2, dtype=np.uint8)
+            low, high = small[kept], long_[kept]
+            most = got + np.minimum(n - got, np.maximum(high - (k + 1) * EDGE, 0))
+            ok = alive[:, up] & (most >= least_overlap(n, low, percent)) & (100 * high >= percent * n) & (100 * n >= percent * low)
+            if len(ended):
+                at = np.minimum(np.searchsorted(kept, of), max(len(kept) - 1, 0))
+                here = np.flatnonzero(kept[at] == of) if len(kept) else np.zeros(0, np.int64)
+                at, sets = at[here], ended[here]
+                q, x = np.nonzero(ok[:, at] & (100 * got[:, at] >= percent * (n + self.sizes[sets] - got[:, at])))
+                out[0].append(q + first)
+                out[1].append(sets[x])
+            still = ok.any(0)
+            if not still.any():
                 break
-            shared[level] = shared[np.maximum(self.parent[level], 0)] * (k > 0) + edge[level]
-            most = shared[level] + np.minimum(n - shared[level], self.longest[level] - self.end[level])
-            ok = (most >= least_overlap(n, self.smallest[level], percent)) & (100 * self.longest[level] >= percent * n) & (100 * n >= percent * self.smallest[level])
-            level = level[ok]
-            alive[level] = True
-            out.append(level)
-        nodes = np.concatenate(out)
-        # the first sequence of a subtree may end within it and be another's beginning
-        ends = nodes[self.end[nodes] == self.sizes[self.lo[nodes]]]
-        leaves = self.lo[ends]
-        good = 100 * shared[ends] >= percent * (n + self.sizes[leaves] - shared[ends])
-        return self.leaf[leaves[good]]
-
-
-def joined(rows: pa.Table, percent: int = PERCENT) -> pa.Table:
-    """Links of one task: a, b of a spanning forest, and for each node (as a = b) its number of linked copies."""
+            nodes, alive, shared = kept[still], ok[:, still], got[:, still]
+        return np.concatenate(out[0]), np.concatenate(out[1])
+
+
+def stars(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """For each of n nodes the least node of its component under the edges (a, b)."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
+def joined(rows: pa.Table, known: tuple[np.ndarray, np.ndarray], percent: int = PERCENT) -> pa.Table:
+    """Links of one task: a, b of stars that connect what links, and for each node that asks (as a = b) its number of linked copies."""
+    piece = np.column_stack([rows[c].to_numpy() for c in ("home", "i", "j")])
     ids, copies, side = rows["low"].to_numpy(), rows["copies"].to_numpy(), rows["side"].to_numpy()
-    sets = [np.frombuffer(x.as_buffer(), U) for x in rows["shingles"]]
-    stored = np.flatnonzero(side == 0)
-    alone = rows["i"][0] == rows["j"][0]
-    asking = stored if alone else np.flatnonzero(side == 1)
-    root = np.arange(len(ids))
-    count = np.zeros(len(ids), np.int64)
-    a, b = [], []
-    if len(stored) and len(asking):
-        trie = Trie([sets[i] for i in stored])
-        for q in asking.tolist():
-            for x in stored[trie.linked(sets[q], percent)].tolist():
-                if x == q:
-                    continue
-                count[q] += copies[x]
-                if not alone:
-                    count[x] += copies[q]
-                if root[x] != root[q]:
-                    root[root == root[x]] = root[q]
-                    a.append(ids[q])
-                    b.append(ids[x])
-    own = np.flatnonzero(count)
-    return pa.table({"a": pa.array([*a, *ids[own].tolist()], pa.int64()), "b": pa.array([*b, *ids[own].tolist()], pa.int64()), "n": pa.array([0] * len(a) + count[own].tolist(), pa.int64())})
-
-
-def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, chunk: int = CHUNK) -> DataFrame:
+    blobs = rows["shingles"].combine_chunks() if rows["shingles"].num_chunks != 1 else rows["shingles"].chunk(0)
+    order = np.lexsort((ids, piece[:, 2], piece[:, 1], piece[:, 0]))
+    order = order[np.append(True, (piece[order[1:]] != piece[order[:-1]]).any(1) | (ids[order[1:]] != ids[order[:-1]]))]  # repeated rows of a document have one set
+    begins = np.flatnonzero(np.append(True, (piece[order[1:]] != piece[order[:-1]]).any(1)))
+    out: list[list[np.ndarray]] = [[], [], []]
+    for own in np.split(order, begins[1:]):
+        stored, asks = own[side[own] != 1], own[side[own] != 0]
+        if not len(stored) or not len(asks) or (len(own) == 1):
+            continue
+        sets = {x: np.frombuffer(blobs[x].as_buffer(), U) for x in own.tolist()}
+        q, x = Trie([sets[k] for k in stored.tolist()], known).links([sets[k] for k in asks.tolist()], percent)
+        q, x = asks[q], stored[x]
+        q, x = q[ids[q] != ids[x]], x[ids[q] != ids[x]]
+        n = np.bincount(q, copies[x], len(ids)).astype(np.int64)
+        some = np.flatnonzero(n)
+        for c, v in zip(out, (ids[some], ids[some], n[some])):
+            c.append(v)
+        nodes, at = np.unique(np.concatenate([q, x]), return_inverse=True)
+        root = stars(at[: len(q)], at[len(q) :], len(nodes))
+        for c, v in zip(out, (ids[nodes], ids[nodes[root]], np.zeros(len(nodes), np.int64))):
+            c.append(v[root != np.arange(len(nodes))])
+    none = np.zeros(0, np.int64)
+    return pa.table(dict(zip("abn", (pa.array(np.concatenate([none, *c]), pa.int64()) for c in out))))
+
+
+def _met(tokens: DataFrame) -> DataFrame:
+    """Of low, need, token those whose token another set has, then those sets that still have as many as they need."""
+    shared = tokens.groupBy("token").agg(F.min("low").alias("lo"), F.max("low").alias("hi")).filter("lo < hi").select("token")
+    tokens = tokens.join(shared, "token", "left_semi").select("low", "need", "token")
+    return tokens
+
+
+def _enough(tokens: DataFrame) -> DataFrame:
+    enough = tokens.groupBy("low", "need").agg(F.countDistinct("token").alias("n")).filter("n >= need").select("low")
+    return tokens.join(enough, "low", "left_semi").select("low", "need", "token")
+
+
+def meetings(tokens: DataFrame) -> DataFrame:
+    """low, home, own: where each set asks, and whether it is stored there. tokens: low, need, token, distinct."""
+    uses_ = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("uses"))
+    home = tokens.join(uses_, "token").groupBy("low").agg(F.max(F.struct("uses", "token"))["token"].alias("home"))
+    home = written(home, "jaccard-homes")
+    where = tokens.join(home, "low").select("token", "home").distinct()
+    # the most used of a set's shingles is its home: a shingle that many sets have leads to few homes
+    asks = tokens.join(where, "token").groupBy("low", "need", "home").agg(F.count(F.lit(1)).alias("n")).filter("n >= need").select("low", "home")
+    own = home.select("low", F.col("home").alias("at"))
+    return asks.join(own, "low").select("low", "home", (F.col("home") == F.col("at")).alias("own"))
+
+
+def dealt(asks: DataFrame, sizes: DataFrame, chunk: int = CHUNK, fewest: int = FEWEST) -> DataFrame:
+    """low, places: the pieces of work (task, home, i, j) that a set belongs to, and its side there: 0 stored, 1 asking, 2 both.
+
+    asks: low, home, own; sizes: low, n. A home is parted where it has more than a
+    partition's fair share of all rows, or more shingles than a chunk.
+    """
+    spark = asks.sparkSession
+    asks = written(asks.join(sizes, "low"), "jaccard-asks")
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = asks.count()
+    fair = max(fewest, total // partitions)
+    load = asks.groupBy("home").agg(F.count(F.lit(1)).alias("q"), F.sum("n").alias("qn"), F.count_if("own").alias("s"), F.sum(F.when(F.col("own"), F.col("n"))).alias("sn")).filter("q > 1")
+    load = load.select("home", F.ceil(F.greatest(F.col("q") / fair, F.col("qn") / chunk)).cast("int").alias("kq"), F.ceil(F.greatest(F.col("s") / fair, F.col("sn") / chunk)).cast("int").alias("ks"))
+    rows = asks.join(load, "home").select("low", "home", "own", "n", "kq", "ks", F.pmod(F.xxhash64("low"), F.col("kq")).cast("int").alias("j"), F.pmod(F.xxhash64("low", F.lit(1)), F.col("ks")).cast("int").alias("i"))
+    asking = F.transform(F.sequence(F.lit(0), F.col("ks") - 1), lambda k: F.struct(k.alias("i"), F.col("j").alias("j"), F.when(F.col("own") & (k == F.col("i")), 2).otherwise(1).alias("side")))
+    stored = F.transform(F.filter(F.sequence(F.lit(0), F.col("kq") - 1), lambda k: F.col("own") & (k != F.col("j"))), lambda k: F.struct(F.col("i").alias("i"), k.alias("j"), F.lit(0).alias("side")))
+    rows = rows.select("low", "home", "n", F.explode(F.concat(asking, stored)).alias("p")).select("low", "home", "n", "p.*")
+    rows = written(rows, "jaccard-places")
+    size = rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    bins = max(4 * partitions, -(-size // TASK))
+    task = F.pmod(F.xxhash64("home", "i", "j"), F.lit(bins))
+    return rows.groupBy("low").agg(F.collect_list(F.struct(task.alias("task"), "home", "i", "j", "side")).alias("places"))
+
+
+def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, chunk: int = CHUNK, fewest: int = FEWEST) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links (documents linked with it) of each row.
 
     Texts without words, null ones too, have no shingles and no links. Rows of
     one id are one document: what links to one of their texts links to all. Rows
     with a null id are not linked and have a null component.
     """
-    spark = docs.sparkSession
     known = frequent(docs, words, percent)
 
     def prefixes(batches):
@@ -249,43 +321,43 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
                 )
 
     rows = written(_texts(docs).mapInArrow(prefixes, "doc_id long, n long, n1 long, n2 long, need int, prefix array<long>"), "jaccard-prefixes")
-    classes = rows.filter("doc_id is not null and n > 0").groupBy("n1", "n2").agg(F.min("doc_id").alias("low"), F.countDistinct("doc_id").alias("copies"))
+    classes = rows.filter("doc_id is not null and n > 0").groupBy("n1", "n2").agg(F.min("doc_id").alias("low"), F.countDistinct("doc_id").alias("copies"), F.max("n").alias("n"))
     classes = written(classes, "jaccard-classes")
-    ours = rows.filter("size(prefix) > 0").join(classes, ["n1", "n2"]).filter("doc_id = low").select("low", "need", "prefix")
+    ours = rows.filter("size(prefix) > 0").select("doc_id", "n1", "n2", "need", "prefix").join(classes.drop("n"), ["n1", "n2"]).filter("doc_id = low").select("low", "need", "prefix")
     tokens = written(ours.select("low", "need", F.explode("prefix").alias("token")), "jaccard-tokens")
-    shared = tokens.groupBy("token").agg(F.min("low").alias("lo"), F.max("low").alias("hi")).filter("lo < hi").select("token")
-    tokens = written(tokens.join(shared, "token", "left_semi").select("low", "need", "token"), "jaccard-shared")
-    enough = tokens.groupBy("low", "need").agg(F.countDistinct("token").alias("n")).filter("n >= need").select("low")
-    tokens = tokens.join(enough, "low", "left_semi").select("low", "token")
-    first = tokens.groupBy("token").agg(F.min("low").alias("lo"), F.max("low").alias("hi")).filter("lo < hi").select("token", "lo")
-    pairs = tokens.join(first, "token").filter("low > lo").select(F.col("low").alias("a"), F.col("lo").alias("b"))
-    clusters = written(components(pairs).select(F.col("node").alias("low"), F.col("root").alias("cluster")), "jaccard-clusters")
+    shared = written(_met(tokens), "jaccard-shared")
+    discard(tokens)
+    # repeated rows of a document are one set; sets that go leave shingles that no other has any more
+    tokens = written(_met(_enough(shared)).distinct(), "jaccard-met")
+    tokens = written(_enough(tokens), "jaccard-enough")
+    places = written(dealt(meetings(tokens), classes.select("low", "n"), chunk, fewest), "jaccard-dealt")
 
-    near = clusters.join(classes, "low").select("low", "cluster", "copies", "n1", "n2")
-    near = F.broadcast(near) if clusters.count() <= MOST_BROADCAST else near
+    near = places.join(classes, "low").select("low", "copies", "n1", "n2", "places")
+    few = places.agg(F.coalesce(F.sum(F.size("places")), F.lit(0)).alias("n")).first().n <= MOST_BROADCAST
+    near = F.broadcast(near) if few else near
 
     def sets(batches):
         for b in batches:
             texts = b.column(5).to_pylist()
             for i, j in slices(texts, [len(t) for t in texts], 2_000_000):
                 got = shingle_sets(texts[i:j], words)
-                same = [k for k, s in enumerate(got) if (xxhash.xxh3_128_intdigest(s.tobytes()) >> 64) - (1 << 63) == b.column(3)[i + k].as_py() and (xxhash.xxh3_128_intdigest(s.tobytes()) & (1 << 64) - 1) - (1 << 63) == b.column(4)[i + k].as_py()]
+                marks = [xxhash.xxh3_128_intdigest(x.tobytes()) for x in got]
+                wanted = zip(b.column(2)[i:j].to_pylist(), b.column(3)[i:j].to_pylist())
+                same = [k for k, (m, w) in enumerate(zip(marks, wanted)) if ((m >> 64) - (1 << 63), (m & (1 << 64) - 1) - (1 << 63)) == w]
                 take = pa.array([i + k for k in same], pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column(1).take(take), b.column(0).take(take), b.column(2).take(take), pa.array([len(got[k]) for k in same], pa.int64()), pa.array([got[k].tobytes() for k in same], pa.binary())], ["cluster", "low", "copies", "n", "shingles"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(take) for c in (0, 1, 4)), pa.array([got[k].tobytes() for k in same], pa.binary())], ["low", "copies", "places", "shingles"])
 
-    members = _texts(docs).join(near, F.col("doc_id") == F.col("low")).select("low", "cluster", "copies", "n1", "n2", "text")
-    # a row for each distinct set: repeated rows of one document give the same one
-    members = written(members.mapInArrow(sets, "cluster long, low long, copies long, n long, shingles binary"), "jaccard-sets").dropDuplicates(["low", "shingles"])
-    sizes = members.groupBy("cluster").agg(F.ceil(F.sum("n") / chunk).cast("int").alias("chunks"))
-    dealt = members.join(sizes, "cluster").withColumn("chunk", F.pmod(F.xxhash64("low"), F.col("chunks")).cast("int"))
-    tasks = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct(F.least(k, "chunk").alias("i"), F.greatest(k, "chunk").alias("j"), (k < F.col("chunk")).cast("int").alias("side")))
-    dealt = dealt.select("cluster", "low", "copies", "shingles", F.explode(tasks).alias("t")).select("cluster", "t.*", "low", "copies", "shingles")
-    links = written(dealt.groupBy("cluster", "i", "j").applyInArrow(lambda t: joined(t, percent), "a long, b long, n long"), "jaccard-links")
+    members = _texts(docs).join(near, F.col("doc_id") == F.col("low")).select("low", "copies", "n1", "n2", "places", "text")
+    at = near.schema["places"].dataType.simpleString()
+    members = written(members.mapInArrow(sets, f"low long, copies long, places {at}, shingles binary"), "jaccard-sets")
+    work = members.select("low", "copies", "shingles", F.explode("places").alias("p")).select("p.*", "low", "copies", "shingles")
+    links = written(work.groupBy("task").applyInArrow(lambda t: joined(t, known, percent), "a long, b long, n long"), "jaccard-links")
+    discard(members)
 
     roots = components(links.filter("a != b").select("a", "b"))
     counts = links.filter("a = b").groupBy(F.col("a").alias("low")).agg(F.sum("n").alias("linked"))
     # one id may have several texts: its component is the least of those of its texts
-    owner = rows.filter("doc_id is not null and n > 0").select("doc_id", "n1", "n2").join(classes, ["n1", "n2"]).select("doc_id", "n1", "n2", "low", "copies")
+    owner = rows.filter("doc_id is not null and n > 0").select("doc_id", "n1", "n2").join(classes.drop("n"), ["n1", "n2"]).select("doc_id", "n1", "n2", "low", "copies")
     several = rows.filter("doc_id is not null").select("doc_id", "n1", "n2").distinct().groupBy("doc_id").count().filter("count > 1")
     if several.limit(1).count():
         extra = owner.join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("low").alias("b"))
@@ -298,14 +370,32 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """docs with the document of the smallest id of each component; one row where rows share an id."""
-    found = written(near_duplicates(docs, words, percent), "jaccard-result")
-    gone = found.filter("doc_id is not null and doc_id > component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    gone = F.broadcast(gone) if gone.count() <= MOST_BROADCAST else gone
-    kept = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
-    if found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        kept = kept.filter("doc_id is null").unionByName(kept.filter("doc_id is not null").dropDuplicates(["doc_id"]))
-    return kept
+    """docs with one row of each component of rows: that of the smallest doc_id, null ids last; all columns as they are.
+
+    Rows that share an id, or have none, are told apart by their texts, and equal ones are one. Of
+    several rows with the same id and text the one with the smallest hash of its other columns stays.
+    Texts without words, null ones too, are linked with nothing; an empty table gives no rows.
+    """
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    again = written(ids.groupBy("doc_id").count().filter("count > 1 or doc_id is null").select("doc_id"), "jaccard-repeated")
+    node, gone = unused(docs, "node"), unused(docs, "gone")
+    if not again.limit(1).count():
+        found = near_duplicates(docs, words, percent)
+        worse = written(found.filter("doc_id > component_id").select(F.col("doc_id").alias(gone)), "jaccard-gone")
+        return docs.join(ids_fit(worse), F.col("doc_id").cast("long") == F.col(gone), "left_anti")
+    marked = again.select(F.col("doc_id").alias(gone), F.lit(True).alias(node))
+    keyed = docs.join(ids_fit(marked), F.col("doc_id").cast("long").eqNullSafe(F.col(gone)), "left")
+    own = F.when(F.col(node), F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))).otherwise(F.col("doc_id").cast("long"))
+    keyed = keyed.select(*docs.columns, F.col(node).isNotNull().alias(gone), own.alias(node))
+    nodes = keyed.select(F.col("doc_id").cast("long").alias("id"), F.col(node).alias("node")).distinct()
+    found = near_duplicates(keyed.select(F.col(node).alias("doc_id"), "text"), words, percent).select(F.col("doc_id").alias("node"), "component_id").distinct()
+    found = found.join(nodes, "node")
+    best = found.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "node"))["node"].alias(node))
+    best = written(best.select(node), "jaccard-kept")
+    kept = keyed.join(best, node, "left_semi")
+    plain = [c for c in docs.columns if "map" not in docs.schema[c].dataType.simpleString()]
+    once = kept.filter(gone).groupBy(node).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*plain)).alias(gone)).select(f"`{gone}`.*")
+    return kept.filter(~F.col(gone)).select(*docs.columns).unionByName(once)
 
 
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -63,10 +64,66 @@ def test_repeated_and_null_ids(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = near_duplicates(df).collect()
     assert sorted((str(r.doc_id), str(r.component_id)) for r in got) == sorted([("1", "1"), ("1", "1"), ("4", "1"), ("4", "1"), ("7", "1"), ("None", "None"), ("None", "None")])
-    assert sorted(str(r.doc_id) for r in one_of_each(df).collect()) == ["1", "None", "None"]
+    # each text is judged by itself: the second text of id 4 is no copy of the first one's group
+    assert sorted(str(r.doc_id) for r in one_of_each(df).collect()) == ["1", "4", "None"]
     assert near_duplicates(df.limit(0)).count() == 0
 
 
+def test_one_row_of_each_group_whatever_the_ids(spark):
+    long = lambda k: " ".join(f"x{k}y{i}" for i in range(40))
+    rows = [(1, long(1)), (1, long(2)), (1, long(1)), (None, long(2)), (None, long(3) + " z"), (None, long(3)), (5, long(3)), (None, ""), (None, ""), (6, None), (7, long(4)), (7, long(5) + " q"), (3, long(5))]
+    df = spark.createDataFrame([(k, t, "n", i, i % 2, {"a": i}) for i, (k, t) in enumerate(rows)], "doc_id int, text string, _node string, _gone int, component_id int, m map<string,int>").repartition(3)
+    left = one_of_each(df)
+    assert left.columns == df.columns
+    got = left.collect()
+    assert sorted((str(r.doc_id), r.text or "") for r in got) == sorted([("1", long(1)), ("1", long(2)), ("5", long(3)), ("None", ""), ("6", ""), ("7", long(4)), ("3", long(5))])
+    assert all(r._gone == next(i for i, x in enumerate(rows) if x == (r.doc_id, r.text)) for r in got if r.text == long(2))
+    assert one_of_each(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("fewest", [100, 700])
+def test_a_dense_group_is_parted(spark, fewest):
+    """5,000 near copies, of which each differs in a word or two, and texts that share a passage with them."""
+    rng = np.random.default_rng(8)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(5000):
+        w = list(base)
+        for k in rng.choice(120, rng.integers(0, 3), replace=False).tolist():
+            w[k] = f"n{rng.integers(40)}"
+        rows.append((i, " ".join(w)))
+    rows += [(6000 + i, " ".join(base[:60] + [f"t{i}s{k}" for k in range(60)])) for i in range(300)]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), fewest=fewest).collect()
+    words = {k: t.split() for k, t in rows}
+    index = {}
+    for w in words.values():
+        for i in range(117):
+            index.setdefault(tuple(w[i : i + 4]), len(index))
+    m = np.zeros((len(rows), len(index)), np.float32)
+    for r, w in enumerate(words.values()):
+        m[r, [index[tuple(w[i : i + 4])] for i in range(117)]] = 1
+    size, both = m.sum(1), m @ m.T
+    link = 100 * both >= 85 * (size[:, None] + size[None, :] - both)
+    np.fill_diagonal(link, False)
+    n = dict(zip(words, link.sum(1).tolist()))
+    assert {r.doc_id: r.n_links for r in got} == n
+    root = {k: k for k in words}
+    ids = list(words)
+    for _ in range(20):
+        low = np.where(link, np.array([root[k] for k in ids])[None, :], 1 << 40).min(1)
+        root = {k: min(root[k], int(v)) for k, v in zip(ids, low)}
+    assert {r.doc_id: r.component_id for r in got} == root
+
+
+def test_a_tree_of_unlike_sets_is_left_early():
+    """Time for sets that share nothing grows far slower than their pairs."""
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 1 << 60, 100, dtype=np.uint64)) for _ in range(8000)]
+    start = time.perf_counter()
+    q, x = Trie(sets).links(sets, 85)
+    assert (q == x).all() and len(q) == len(sets) and time.perf_counter() - start < 15
+
+
 def test_trie_finds_all():
     rng = np.random.default_rng(2)
     base = rng.choice(500, 40, replace=False)
