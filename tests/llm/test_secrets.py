@@ -71,3 +71,37 @@ def test_redacted(spark):
     assert got[1].text == 'a [REDACTED]" é b' and got[1].n_chars == len(got[1].text)
     assert got[2].text == "clean" and got[3].text is None
     assert digests(df.limit(0), shared_dir(spark, "ledger")).count() == 0
+
+
+def test_digests_are_of_the_given_rows(spark):
+    at = shared_dir(spark, "ledger")
+    one = spark.createDataFrame([(1, TEXTS[0])], "doc_id long, text string")
+    two = spark.createDataFrame([(2, TEXTS[0]), (2, TEXTS[0]), (None, TEXTS[0]), (3, None), (4, TEXTS[7])], "doc_id long, text string")
+    (first,) = digests(one, at).collect()
+    got = digests(two, at).collect()
+    assert sorted(str(r.doc_id) for r in got) == ["2", "2", "3", "4", "None"]
+    assert {r.base_sha256 for r in got if r.doc_id in (2, None)} == {first.base_sha256}
+    assert spark.read.parquet(f"{at}/scans").count() == 3
+
+
+def test_many_new_blobs_and_long_texts(spark, monkeypatch):
+    """Both ways to pick out new blobs, on texts with as many findings as they have room for."""
+    import seedloom.llm.secrets as secrets
+
+    texts = ["0123456789abcdef," * 30_000, "a" * 1_000_000, "token=" * 100_000, "- " * 200_000, "AKIA" * 100_000, TEXTS[0], TEXTS[0], None]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(3)
+    ways = []
+    for most in (secrets.MOST_BLOBS, 0):
+        monkeypatch.setattr(secrets, "MOST_BLOBS", most)
+        ways.append({r.doc_id: r for r in digests(df, shared_dir(spark, "ledger")).collect()})
+    assert ways[0] == ways[1] and [ways[0][i].n_hex for i in range(8)] == [30_000, 1, 0, 0, 0, 1, 1, 0]
+    for i, t in enumerate(texts):
+        line = ",".join(f"{n}:{a}:{b}" for a, _, n, b in brute(t or ""))
+        assert ways[0][i].base_sha256 == hashlib.sha256(line.encode()).hexdigest()
+
+
+def test_columns_of_any_name_stay(spark):
+    df = spark.createDataFrame([(1, TEXTS[0], "a", "b", "c", 3), (1, "clean", "a", "b", "c", 4), (None, TEXTS[0], "a", "b", "c", 5)], "doc_id long, text string, _blob string, _found string, BLOB string, start int")
+    got = redacted(df, shared_dir(spark, "ledger"))
+    assert got.columns == df.columns
+    assert sorted(tuple(r)[1:] for r in got.collect()) == sorted((t, "a", "b", "c", n) for t, n in (('[REDACTED]" é', 3), ("clean", 4), ('[REDACTED]" é', 5)))
