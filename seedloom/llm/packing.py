@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import ids_fit, table, written
 from .tokenizing import WordIds, kept, slices, tokenizer, vocabulary_path
 
 LENGTH = 4096
@@ -66,11 +66,14 @@ def pack(docs: DataFrame, length: int = LENGTH, vocabulary: str = VOCABULARY, en
 
     Null text is an empty one, which still has its end id. Repeated rows are
     packed each; null ids stay null. An empty table gives no pieces. Other
-    columns are not read. Only the last sequence can be short.
+    columns are not read. Only the last sequence can be short. A text of any length is encoded whole.
+    Vocabularies of which the ids of a text aren't those of its words are refused.
     """
+    WordIds(vocabulary_path(vocabulary))
     tokens = written(encoded(docs, vocabulary, end_id), "packing")
     # a row for each task of the first pass: a few bytes for each input split
-    placed = tokens.join(F.broadcast(offsets(tokens.select("part", "n_tokens"))), "part")
+    parts = ids_fit(written(offsets(tokens.select("part", "n_tokens")), "packing-offsets"))
+    placed = tokens.join(parts, "part")
     placed = placed.select("doc_id", (F.col("part_start") + F.col("part_offset")).alias("at"), "n_tokens", "ids")
 
     def run(batches):

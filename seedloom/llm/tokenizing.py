@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import array
+import json
 import os
 import re
 
@@ -56,6 +57,11 @@ class WordIds(dict):
     def __init__(self, path: str, entries: int = CACHE_ENTRIES):
         super().__init__()
         self.lib, self.entries, self.old = tokenizer(path), entries // 2, {}
+        made = json.loads(self.lib.to_str())
+        cuts = [c["type"] for c in (made["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        lowers = [n["type"] for n in (made["normalizer"] or {}).get("normalizers", [])]
+        if cuts != ["Split", "ByteLevel"] or lowers != ["NFC", "Replace", "Lowercase"] or made["post_processor"]:
+            raise ValueError(f"{path} is not a lower-casing vocabulary that drops white space")
         self.code = "H" if self.lib.get_vocab_size() <= 1 << 16 else "I"
         self.pieces = self.lib.model.tokenize
         self.marks = {m: self.packed(self.lib.encode(m, add_special_tokens=False).ids) if m else b"" for m in ("", ".", ",")}
@@ -104,37 +110,24 @@ def pre_tokens(text: str) -> list[str]:
 _counters: dict = {}
 
 
-class PieceCounts:
-    """How many pieces a byte-level tokenizer makes of each distinct pre-token."""
-
-    def __init__(self, path: str, entries: int = CACHE_ENTRIES):
-        self.lib, self.entries, self.known = tokenizer(path), entries, {}
-        self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        self.cut = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-
-    def of(self, texts: list[str]) -> list[int]:
-        """For each text the number of tokens; special strings count as one token each."""
-        freq, extra = [], []
-        for t in texts:
-            n = 0
-            if self.cut is not None and self.cut.search(t):
-                parts = self.cut.split(t)
-                n, pieces = len(parts) - 1, [p for part in parts for p in pre_tokens(part)]
-            else:
-                pieces = pre_tokens(t)
-            freq.append(pieces)
-            extra.append(n)
-        wanted: set[str] = set()
-        for pieces in freq:
-            wanted.update(pieces)
-        if len(self.known) + len(wanted) > self.entries:
-            self.known = {k: self.known[k] for k in wanted if k in self.known}
-        new = [p for p in wanted if p not in self.known]
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            self.known.update(zip(part, map(len, self.lib.encode_batch_fast(part, add_special_tokens=False))))
-        get = self.known.__getitem__
-        return [n + sum(map(get, pieces)) for n, pieces in zip(extra, freq)]
+class PreTokens:
+    """Cuts texts where a byte-level tokenizer with the usual pattern begins a piece that it encodes by itself."""
+
+    def __init__(self, path: str):
+        lib = tokenizer(path)
+        made = json.loads(lib.to_str())
+        cut = made["pre_tokenizer"] or {}
+        if made["normalizer"] or (cut.get("type"), cut.get("use_regex"), cut.get("add_prefix_space")) != ("ByteLevel", True, False):
+            raise ValueError(f"{path} is not a byte-level vocabulary with the usual pattern")
+        special = sorted((t.content for t in lib.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.cut = re.compile("|".join(map(re.escape, special))) if special else None
+
+    def of(self, text: str) -> tuple[list[str], int]:
+        """The text's pre-tokens, without its special strings, and how many of those it has."""
+        if self.cut is None or not self.cut.search(text):
+            return pre_tokens(text), 0
+        parts = self.cut.split(text)
+        return [p for part in parts for p in pre_tokens(part)], len(parts) - 1
 
 
 def kept(kind, path: str):

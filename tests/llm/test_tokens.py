@@ -2,8 +2,9 @@ import zlib
 
 import numpy as np
 import pytest
+import zstandard
 from seedloom.llm.packing import pack
-from seedloom.llm.token_counts import token_counts
+from seedloom.llm.token_counts import packed_bag, token_counts, unpacked_bag
 from seedloom.llm.tokenizing import slices, tokenizer, vocabulary_path
 
 TEXTS = [
@@ -33,6 +34,37 @@ def test_counts_are_the_librarys(docs):
     assert sorted((str(r.doc_id), r.n_bytes, r.n_tokens, r.over_limit) for r in got) == want
 
 
+def test_blocks_don_t_change_counts(docs):
+    whole = sorted(map(str, token_counts(docs).collect()))
+    assert whole == sorted(map(str, token_counts(docs, block=20).collect())) == sorted(map(str, token_counts(docs.repartition(1), block=1).collect()))
+
+
+def test_bags_round_trip():
+    rng = np.random.default_rng(0)
+    for n in (0, 1, 5, 3000):
+        numbers = rng.permutation(1 << 17)[:n].tolist()
+        counts = rng.integers(1, 1 << 20, n).tolist()
+        got = unpacked_bag(packed_bag(numbers, counts, zstandard.ZstdCompressor()), zstandard.ZstdDecompressor())
+        assert dict(zip(*map(np.ndarray.tolist, got))) == dict(zip(numbers, counts))
+
+
+def test_long_texts(spark):
+    lib = tokenizer(vocabulary_path("byte_bpe_50k.json"))
+    texts = ["word " * 200_000, "x" * 20_000, "- " * 100_000, "a<|endoftext|>" * 20_000, "\n" * 100_000]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id: r.n_tokens for r in token_counts(df).collect()} == {i: len(lib.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+    packs = pack(df).groupBy("doc_id").agg({"length": "sum"}).collect()
+    lib = tokenizer(vocabulary_path("word_bpe_49k.json"))
+    assert {r[0]: r[1] for r in packs} == {i: 1 + len(lib.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+
+
+def test_vocabularies_of_another_kind_are_refused(docs):
+    with pytest.raises(ValueError):
+        token_counts(docs, "word_bpe_49k.json")
+    with pytest.raises(ValueError):
+        pack(docs, vocabulary="byte_bpe_50k.json")
+
+
 def test_pack_loses_no_id(docs):
     lib = tokenizer(vocabulary_path("word_bpe_49k.json"))
     pieces = pack(docs, length=64).collect()
