@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
-from .mixing import duck_draws, with_draws, with_mixed
+from .mixing import draw_base, drawn, duck_draws, with_draws, with_mixed, wrapping
 
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 DIGITS = "0123456789"
@@ -95,15 +95,33 @@ SPARK, DUCK = Dialect(), Duck()
 Formula = Callable[[Dialect, list[str], str], str]
 
 
+@dataclass(frozen=True)
+class Text:
+    """A text of `size` characters of a pool, from the draws number `first` on, that Spark makes draw by draw.
+
+    An expression for each character would outgrow the limits of generated code.
+    formula(text, draws before the first, row) is the value.
+    """
+
+    pool: str
+    size: int
+    first: int
+    formula: Callable[[str, list[str], str], str]
+
+
 @dataclass(frozen=True)
 class Gen:
-    """kind, draws a value takes, formula(dialect, draws, row). mixed: columns of mix64 that the formula names."""
+    """kind, draws a value takes, formula(dialect, draws, row). mixed: columns of mix64 that the formula names.
+
+    text: another way to the same value.
+    """
 
     kind: str
     draws: int
     formula: Formula = field(compare=False)
     mixed: Mapping[str, str] = field(default_factory=dict, compare=False)
     params: Mapping = field(default_factory=dict)
+    text: Text | None = field(default=None, compare=False)
 
     def sql(self, dialect: Dialect, draws: list[str], row: str) -> str:
         return self.formula(dialect, draws, row)
@@ -222,14 +240,17 @@ def string(size: int | None = 10, letters: bool = True, numbers: bool = False) -
     if size < 1 or not pool:
         raise ValueError("a string needs a size of 1 at least and a pool")
     per = _per(pool)
-    return Gen("string", -(-size // per), lambda d, u, n: f"concat({', '.join(_chars(d, u, pool, size, per))})", params={"size": size, "letters": letters, "numbers": numbers})
+    text = Text(pool, size, 0, lambda t, u, n: t)
+    return Gen("string", -(-size // per), lambda d, u, n: f"concat({', '.join(_chars(d, u, pool, size, per))})", params={"size": size, "letters": letters, "numbers": numbers}, text=text)
 
 
 def variable_string(least: int, most: int, letters: bool = True, numbers: bool = False) -> Gen:
     """A length uniform in [max(least, 1), most]."""
     least, most = max(least, 1), min(most, 2000)
     whole = string(most, letters, numbers)
-    return Gen("variable_string", whole.draws + 1, lambda d, u, n: f"substr({whole.sql(d, u[1:], n)}, 1, CAST({least} + {u[0]} % {most - least + 1} AS INT))", params={"least": least, "most": most})
+    cut = lambda text, u: f"substr({text}, 1, CAST({least} + {u} % {most - least + 1} AS INT))"
+    text = Text(whole.text.pool, most, 1, lambda t, u, n: cut(t, u[0]))
+    return Gen("variable_string", whole.draws + 1, lambda d, u, n: cut(whole.sql(d, u[1:], n), u[0]), params={"least": least, "most": most}, text=text)
 
 
 def bit_string(size: int = 1) -> Gen:
@@ -458,27 +479,47 @@ def zipf(start: int = 1, size: int = 100, exponent: float = 1.0) -> Gen:
             return f"CAST({tree(0, size - 1)} AS INT)"
         table = ", ".join(f"CAST({c!r} AS DOUBLE)" for c in cdf[:-1])
         if d.name == "spark":
-            return f"CAST({start} + size(filter(array({table}), c -> c <= {_unit(d, u[0])})) AS INT)"
+            # the number of ranks whose share lies below the draw, by halving steps
+            steps = ", ".join(str(1 << k) for k in reversed(range((size - 1).bit_length())))
+            found = f"aggregate(array({steps}), 0, (p, s) -> CASE WHEN coalesce(get(array({table}), p + s - 1) <= {_unit(d, u[0])}, false) THEN p + s ELSE p END)"
+            return f"CAST({start} + {found} AS INT)"
         return f"CAST({start} + len(list_filter([{table}], lambda c: c <= {_unit(d, u[0])})) AS INT)"
 
     return Gen("zipf", 1, formula, params={"start": start, "size": size, "exponent": exponent})
 
 
+def _with_texts(df: DataFrame, texts: Mapping[str, tuple[Text, int, str]]) -> DataFrame:
+    """df with a column for each name: the whole text of (text, seed, row expression)."""
+    if not texts:
+        return df
+    made = []
+    for name, (text, seed, row) in texts.items():
+        size, per = len(text.pool), _per(text.pool)
+        chars = ", ".join(f"substr('{text.pool}', CAST(1 + (u div {size**i}L) % {size} AS INT), 1)" for i in range(min(per, text.size)))
+        draws = drawn([draw_base(seed, text.first + j) for j in range(-(-text.size // per))], row)
+        made.append(f"substr(array_join(transform({draws}, u -> concat({chars}, '')), ''), 1, {text.size}) AS `{name}`")
+    with wrapping(df.sparkSession):
+        return df.selectExpr("*", *made)
+
+
 def with_columns(df: DataFrame, row: str, gens: Mapping[str, tuple]) -> DataFrame:
     """df with a generated column for each name: (generator, seed), or those and a row expression of its own.
 
     row is an expression of the row index. No shuffle.
     """
     keep = [f"`{c}`" for c in df.columns]
-    draws, mixed, at = {}, {}, {}
+    draws, mixed, texts, at = {}, {}, {}, {}
     for k, (name, (g, seed, *own)) in enumerate(gens.items()):
-        at[name] = [f"__d{k}_{j}" for j in range(g.draws)]
+        at[name] = [f"__d{k}_{j}" for j in range(g.text.first if g.text else g.draws)]
         draws |= {c: (seed, j, *own) for j, c in enumerate(at[name])}
         mixed |= {f"{c}{k}": f"{own[0] if own else row} + {e}L" for c, e in g.mixed.items()}
-    out = with_mixed(with_draws(df, row, draws), mixed)
+        if g.text:
+            texts[f"__t{k}"] = (g.text, seed, own[0] if own else row)
+    out = _with_texts(with_mixed(with_draws(df, row, draws), mixed), texts)
     made = []
     for k, (name, (g, _, *own)) in enumerate(gens.items()):
-        sql = g.sql(SPARK, at[name], own[0] if own else row)
+        where = own[0] if own else row
+        sql = g.text.formula(f"`__t{k}`", at[name], where) if g.text else g.sql(SPARK, at[name], where)
         for c in g.mixed:
             sql = sql.replace(c, f"{c}{k}")
         made.append(f"{sql} AS `{name}`")

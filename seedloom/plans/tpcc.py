@@ -73,14 +73,23 @@ def customer_last(group: int, enumerated: int) -> g.Gen:
 
 def data_column() -> g.Gen:
     """26 to 50 letters; a tenth hold ORIGINAL at a random place."""
-    text = g.variable_string(26, 50)
+    body = g.variable_string(26, 50)
+
+    def value(whole: str, u: list[str]) -> str:
+        """whole is the text before it is cut to its length of 26 to 50, drawn by u[2]."""
+        n = f"CAST(26 + {u[2]} % 25 AS INT)"
+        at = f"CAST({u[1]} % ({n} - 7) AS INT)"
+        marked = f"concat(substr({whole}, 1, {at}), 'ORIGINAL', substr({whole}, {at} + 9, {n} - {at} - 8))"
+        return f"CASE WHEN {u[0]} % 10 = 0 THEN {marked} ELSE substr({whole}, 1, {n}) END"
 
     def formula(d: g.Dialect, u: list[str], n: str) -> str:
-        body = text.sql(d, u[2:], n)
-        at = f"CAST({u[1]} % (length({body}) - 7) AS INT)"
-        return f"CASE WHEN {u[0]} % 10 = 0 THEN concat(substr({body}, 1, {at}), 'ORIGINAL', substr({body}, {at} + 9)) ELSE {body} END"
+        # the shortest way to write it: cut first, then mark
+        cut = body.sql(d, u[2:], n)
+        at = f"CAST({u[1]} % (length({cut}) - 7) AS INT)"
+        return f"CASE WHEN {u[0]} % 10 = 0 THEN concat(substr({cut}, 1, {at}), 'ORIGINAL', substr({cut}, {at} + 9)) ELSE {cut} END"
 
-    return g.Gen("data_column", text.draws + 2, formula)
+    text = g.Text(body.text.pool, body.text.size, 3, lambda t, u, n: value(t, u))
+    return g.Gen("data_column", body.draws + 2, formula, text=text)
 
 
 def zip_code() -> g.Gen:
