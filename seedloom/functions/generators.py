@@ -8,6 +8,8 @@ All are pure: the same seed and row give the same value wherever the row is.
 from __future__ import annotations
 
 import math
+import sys
+import unicodedata
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -163,6 +165,17 @@ def double(start: float = 0.0, end: float = 1.7976931348623157e308) -> Gen:
     return Gen("double", 1, lambda d, u, n: f"(CAST({start!r} AS DOUBLE) + CAST({end - start!r} AS DOUBLE) * {_unit(d, u[0])})", params={"start": start, "end": end})
 
 
+def between(least: float, most: float, least_inclusive: bool = True, most_inclusive: bool = True, sql_type: str = "DOUBLE") -> Gen:
+    """Uniform between two bounds, each of which can be a value or not."""
+    low, high = (least if least_inclusive else math.nextafter(least, math.inf)), (most if most_inclusive else math.nextafter(most, -math.inf))
+    if low > high:
+        raise ValueError("no number lies between the bounds")
+    # 2**53 steps, the last of which is the upper bound; rounding can't leave the range
+    unit = lambda d, u: f"(CAST({d.div(u, 1024)} AS DOUBLE) / CAST(9007199254740991.0 AS DOUBLE))"
+    value = lambda d, u: f"least(greatest(CAST({low!r} AS DOUBLE) + CAST({high - low!r} AS DOUBLE) * {unit(d, u)}, CAST({low!r} AS DOUBLE)), CAST({high!r} AS DOUBLE))"
+    return Gen("between", 1, lambda d, u, n: value(d, u[0]) if sql_type == "DOUBLE" else f"CAST({value(d, u[0])} AS {d.real()})", params={"least": least, "most": most, "least_inclusive": least_inclusive, "most_inclusive": most_inclusive})
+
+
 def single(start: float = 0.0, end: float = 3.4028234663852886e38) -> Gen:
     g = double(start, end)
     return Gen("float", 1, lambda d, u, n: f"CAST({g.sql(d, u, n)} AS {d.real()})", params=g.params)
@@ -197,7 +210,7 @@ def scaled_decimal(start: float, end: float, scale: int, precision: int = 18) ->
     unit_ = 10**scale
     lo, width = round(start * unit_ * 1000), max(1, round((end - start) * unit_ * 1000))
     # thousandths of the last place, rounded in whole numbers
-    return Gen("scaled_decimal", 1, lambda d, u, n: f"CAST(CAST({d.div(f'{lo} + {u[0]} % {width} + 500', 1000)} AS DECIMAL(38,0)) / CAST({unit_} AS DECIMAL(12,0)) AS DECIMAL({precision},{scale}))", params={"start": start, "end": end, "scale": scale})
+    return Gen("scaled_decimal", 1, lambda d, u, n: f"CAST(CAST({d.div(f'{lo} + {u[0]} % {width} + 500', 1000)} AS DECIMAL(38,0)) / CAST({unit_} AS DECIMAL(12,0)) AS DECIMAL({precision},{scale}))", params={"start": start, "end": end, "scale": scale, "precision": precision})
 
 
 def boolean() -> Gen:
@@ -250,7 +263,7 @@ def variable_string(least: int, most: int, letters: bool = True, numbers: bool =
     whole = string(most, letters, numbers)
     cut = lambda text, u: f"substr({text}, 1, CAST({least} + {u} % {most - least + 1} AS INT))"
     text = Text(whole.text.pool, most, 1, lambda t, u, n: cut(t, u[0]))
-    return Gen("variable_string", whole.draws + 1, lambda d, u, n: cut(whole.sql(d, u[1:], n), u[0]), params={"least": least, "most": most}, text=text)
+    return Gen("variable_string", whole.draws + 1, lambda d, u, n: cut(whole.sql(d, u[1:], n), u[0]), params={"least": least, "most": most, "letters": letters, "numbers": numbers}, text=text)
 
 
 def bit_string(size: int = 1) -> Gen:
@@ -426,7 +439,7 @@ def weighted(weights: Mapping, sql_type: str = "STRING") -> Gen:
         value = f"CASE {whens} ELSE {last} END" if whens else last
         return f"CAST({value} AS {sql_type if d.name == 'spark' or sql_type != 'STRING' else 'VARCHAR'})"
 
-    return Gen("weighted", 1, formula, params={"weights": {str(k): v for k, v in items}})
+    return Gen("weighted", 1, formula, params={"weights": {str(k): v for k, v in items}, "sql_type": sql_type})
 
 
 def normal(mean: float = 0.0, deviation: float = 1.0, least: float = -1.7976931348623157e308, most: float = 1.7976931348623157e308, digits: int = 6) -> Gen:
@@ -488,6 +501,41 @@ def zipf(start: int = 1, size: int = 100, exponent: float = 1.0) -> Gen:
     return Gen("zipf", 1, formula, params={"start": start, "size": size, "exponent": exponent})
 
 
+#: Code points that are neither unassigned, private nor surrogates, as Python's character tables have them: ranges first..last.
+def _assigned() -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for c in range(sys.maxunicode + 1):
+        if unicodedata.category(chr(c)) in ("Cn", "Co", "Cs"):
+            continue
+        if out and out[-1][1] == c - 1:
+            out[-1] = (out[-1][0], c)
+        else:
+            out.append((c, c))
+    return out
+
+
+def any_text(size: int = 10) -> Gen:
+    """`size` code points, uniform over all that are assigned."""
+    if not 1 <= size <= 2000:
+        raise ValueError("a text has 1 to 2000 code points")
+    ranges = _assigned()
+    before = [0]
+    for a, b in ranges:
+        before.append(before[-1] + b - a + 1)
+    starts, firsts = ", ".join(map(str, before[1:-1])), ", ".join(str(a - n) for (a, _), n in zip(ranges, before))
+    steps = ", ".join(str(1 << k) for k in reversed(range((len(ranges) - 1).bit_length())))
+
+    def formula(d: Dialect, u: list[str], n: str) -> str:
+        at = f"CAST(x % {before[-1]} AS INT)"
+        if d.name == "duck":
+            place = f"len(list_filter([{starts}], lambda c: c <= {at}))"
+            return f"list_aggregate(list_transform([{', '.join(u)}], lambda x: chr({at} + ([{firsts}])[{place} + 1])), 'string_agg', '')"
+        spot = f"aggregate(array({steps}), 0, (p, s) -> CASE WHEN coalesce(get(array({starts}), p + s - 1) <= {at}, false) THEN p + s ELSE p END)"
+        return f"decode(unhex(array_join(transform(array({', '.join(u)}), x -> lpad(hex({at} + get(array({firsts}), {spot})), 8, '0')), '')), 'UTF-32')"
+
+    return Gen("any_text", size, formula, params={"size": size})
+
+
 def _with_texts(df: DataFrame, texts: Mapping[str, tuple[Text, int, str]]) -> DataFrame:
     """df with a column for each name: the whole text of (text, seed, row expression)."""
     if not texts:
@@ -545,3 +593,13 @@ def duck_columns(source: str, row: str, gens: Mapping[str, tuple[Gen, int]], sel
             sql = sql.replace(c, f"{c}{k}")
         made.append(f"{sql} AS {name}")
     return f"WITH {chain} SELECT {select}, {', '.join(made)} FROM {'b' if mixed else 'a'}"
+
+
+#: Kinds that a descriptor carries whole: kind -> factory of its parameters.
+DESCRIBED: dict[str, Callable[..., Gen]] = {
+    "integer": integer, "long": long, "short": short, "double": double, "float": single, "decimal": decimal, "scaled_decimal": scaled_decimal, "boolean": boolean, "bit": bit, "binary": binary, "character": character,
+    "string": string, "variable_string": variable_string, "bit_string": bit_string, "uuid": uuid, "inet": inet, "cidr": cidr, "mac": mac, "interval": interval, "xml": xml, "jsonb": jsonb,
+    "integer_array": integer_array, "string_array": string_array, "null": null, "timestamp": timestamp, "instant": lambda start, end: instant(start, end), "date": date, "time": time, "fixed_timestamp": fixed_timestamp,
+    "current_timestamp": current_timestamp, "skewed_timestamp": skewed_timestamp, "constant": constant, "sequential": sequential, "key_component": key_component, "child_count": child_count,
+    "weighted": weighted, "normal": normal, "zipf": zipf, "any_text": any_text,
+}

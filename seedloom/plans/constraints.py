@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 import re
 
+import numpy as np
+
 from ..functions import generators as g
 from .model import ColumnConstraint, ColumnModel
 
@@ -84,10 +86,26 @@ def generator(column: ColumnModel, c: ColumnConstraint) -> g.Gen | None:
         # whole units of the last place: no rounding can leave the range
         return g.Gen("ranged_decimal", 1, lambda d, u, n: f"CAST(CAST({least} + {u[0]} % {most - least + 1} AS DECIMAL(38,0)) / CAST({unit} AS DECIMAL(12,0)) AS DECIMAL({size},{scale}))") if least <= most else None
     if kind in ("DOUBLE", "FLOAT", "REAL"):
-        return g.double(c.least, c.most) if kind == "DOUBLE" else g.single(c.least, c.most)
+        low, high, open_low, open_high = c.least, c.most, not c.least_inclusive, not c.most_inclusive
+        if kind != "DOUBLE":  # the nearest numbers of single precision inside the bounds
+            low, high = _single(low, math.inf, open_low), _single(high, -math.inf, open_high)
+            open_low = open_high = False
+        try:
+            return g.between(low, high, not open_low, not open_high, "DOUBLE" if kind == "DOUBLE" else "FLOAT")
+        except ValueError:
+            return None
     return None
 
 
+def _single(bound: float, towards: float, is_open: bool) -> float:
+    """The first number of single precision from a bound on towards the other; the bound itself unless it is open."""
+    near = np.float32(bound)
+    outside = float(near) < bound if towards > 0 else float(near) > bound
+    if outside or (is_open and float(near) == bound):
+        near = np.nextafter(near, np.float32(towards))
+    return float(near)
+
+
 def predicate(name: str, c: ColumnConstraint) -> str:
     """SQL that holds for the values that the constraint allows."""
     if c.values:

@@ -68,7 +68,17 @@ _H2 = DEFAULT | {
     "TINYINT": lambda c: g.short(0, 127), "BINARY": lambda c: g.uuid() if (c.vendor_type or "").lower() == "uuid" else _binary(c),
     "OTHER": _named({"json": lambda c: g.jsonb(), "uuid": lambda c: g.uuid()}, "OTHER"),
 }
-DIALECTS = {"default": DEFAULT, "postgres": _POSTGRES, "cockroach": _POSTGRES, "mysql": _MYSQL, "mariadb": _MYSQL, "h2": _H2, "sqlite": DEFAULT}
+DIALECTS = {"default": DEFAULT, "postgres": _POSTGRES, "cockroach": _POSTGRES, "mysql": _MYSQL, "mariadb": _MYSQL, "h2": _H2, "sqlite": DEFAULT, "derby": DEFAULT}
+
+
+def extended(name: str, base: str = "default", **factories: Factory) -> str:
+    """A dialect of its own: that of base with other factories for some types, by type name. Its name, for use wherever a dialect is named."""
+    if base not in DIALECTS:
+        raise KeyError(f"no dialect {base}")
+    if name in DIALECTS:
+        raise ValueError(f"there is a dialect {name} already")
+    DIALECTS[name] = DIALECTS[base] | {k.upper(): f for k, f in factories.items()}
+    return name
 
 
 def detect(product: str) -> str:

@@ -7,7 +7,9 @@ key at row index % rows of the root table, so it meets its parent by constructio
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import wraps
+from inspect import signature
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -77,11 +79,52 @@ def fill(spark: SparkSession, schema: SchemaModel, config: FillConfig = FillConf
     return {name: fill_table(spark, schema, schema.table(name), config) for name in graph.order(schema)}
 
 
+@dataclass(frozen=True)
+class Filled:
+    """A fluent front end for tests: Filled(ddl).rows(50).seed(7).table("t", TableConfig(...)).views(spark)."""
+
+    ddl: str
+    config: FillConfig = FillConfig(default_rows=100)
+
+    def rows(self, n: int) -> Filled:
+        return replace(self, config=replace(self.config, default_rows=n))
+
+    def seed(self, n: int) -> Filled:
+        return replace(self, config=replace(self.config, seed=n))
+
+    def dialect(self, name: str) -> Filled:
+        return replace(self, config=replace(self.config, dialect=name))
+
+    def registry(self, registry: Registry) -> Filled:
+        return replace(self, config=replace(self.config, registry=registry))
+
+    def table(self, name: str, config: TableConfig) -> Filled:
+        return replace(self, config=replace(self.config, tables={**self.config.tables, name: config}))
+
+    def frames(self, spark: SparkSession) -> dict[str, DataFrame]:
+        from .model import parse_ddl
+
+        return fill(spark, parse_ddl(self.ddl), self.config)
+
+    def views(self, spark: SparkSession) -> dict[str, DataFrame]:
+        """The frames, each also a temporary view of its table's name."""
+        made = self.frames(spark)
+        for name, df in made.items():
+            df.createOrReplaceTempView(name)
+        return made
+
+    def __call__(self, test: Callable) -> Callable:
+        """As a decorator: the test gets the tables as its argument `tables`, besides `spark`."""
+
+        @wraps(test)
+        def run(spark, *args, **kwargs):
+            return test(spark, *args, tables=self.views(spark), **kwargs)
+
+        kept = [p for n, p in signature(test).parameters.items() if n != "tables"]
+        run.__signature__ = signature(test).replace(parameters=kept)
+        return run
+
+
 def synth_tables(spark: SparkSession, ddl: str, rows: int = 100, seed: int = 0, **tables: TableConfig) -> dict[str, DataFrame]:
     """Tables for tests: temporary views of all tables of a DDL script."""
-    from .model import parse_ddl
-
-    made = fill(spark, parse_ddl(ddl), FillConfig(seed, rows, tables))
-    for name, df in made.items():
-        df.createOrReplaceTempView(name)
-    return made
+    return Filled(ddl, FillConfig(seed, rows, tables)).views(spark)

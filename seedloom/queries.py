@@ -41,6 +41,9 @@ _GENERATORS: dict[str, tuple[dict[str, g.Gen], dict[str, tuple[str, str]]]] = {
     "uniform_numbers": ({"i": g.integer(), "near": g.integer(-5, 6), "l": g.long(), "s": g.short(), "d": g.double(0.0, 1.0), "f": g.single(0.0, 1.0), "flag": g.boolean(), "b": g.bit()}, {"f": ("CAST(f AS DOUBLE) AS f", "CAST(f AS DOUBLE) AS f")}),
     "decimals": ({"a": g.decimal(10, 2), "b": g.decimal(4, 4), "c": g.scaled_decimal(0, 0.2, 4), "e": g.decimal(25, 0)}, {c: (f"CAST({c} AS DOUBLE) AS {c}",) * 2 for c in "abc"} | {"e": ("CAST(e AS STRING) AS e", "CAST(e AS VARCHAR) AS e")}),
     "random_text": ({"letters": g.string(10), "mixed": g.string(24, True, True), "digits": g.string(16, False, True), "ranged": g.variable_string(3, 12), "c": g.character(), "bits": g.bit_string(7)}, {}),
+    "any_code_points": ({"t": g.any_text(6)}, {}),
+    "between_bounds": ({"closed": g.between(0.0, 1.0), "open": g.between(0.0, 1.0, False, False), "narrow": g.between(2.5, 2.5)}, {}),
+    "date_windows": ({"own": g.date("2024-02-25", 10), "usual": g.date()}, {}),
     "identifiers": ({"u": g.uuid(), "ip": g.inet(), "net": g.cidr(), "m6": g.mac(), "m8": g.mac(8), "span": g.interval()}, {}),
     "documents_and_arrays": ({"j": g.jsonb(5), "x": g.xml(), "ia": g.integer_array(), "sa": g.string_array(), "raw": g.binary(10), "lob": g.null()}, {"ia": ("array_join(transform(ia, x -> CAST(x AS STRING)), ',') AS ia", "array_to_string(ia, ',') AS ia"), "sa": ("array_join(sa, ',') AS sa", "array_to_string(sa, ',') AS sa"), "raw": ("hex(raw) AS raw", "hex(raw) AS raw")}),
     "temporal": ({"ts": g.timestamp(), "moment": g.instant(), "day": g.date(), "clock": g.time(), "fixed": g.fixed_timestamp("2020-01-01 00:00:00")}, {}),

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import warnings
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .database import unordered_properties
+from .files import together
 from ..plans.model import SchemaModel, parse_ddl, table_from_struct
 
 #: The drivers' parameters that make one statement of a batch.
@@ -52,10 +54,39 @@ def write_table(df: DataFrame, url: str, table: str, properties: Mapping[str, st
     out.write.format("jdbc").options(url=url, dbtable=table, batchsize=str(batch), **(properties or {})).mode("append").save()
 
 
-def write_tables(tables: Mapping[str, DataFrame], url: str, **options) -> None:
-    """Tables in the order given, parents first as fill() gives them."""
-    for name, df in tables.items():
-        write_table(df, url, name, **options)
+def commit_partitions(rows: int, batch: int = 1000, strategy: str = "per_partition", every: int = 1, partitions: int | None = None) -> int | None:
+    """How many transactions a table's rows are written in: partitions for write_table.
+
+    per_table: one, so the table is there whole or not at all (a single task writes it); every_n_batches: one for each
+    `every` batches; per_partition: as many as given, or as the table has.
+    """
+    if every < 1 or batch < 1:
+        raise ValueError("batches and commits need a row or more")
+    match strategy:
+        case "per_table":
+            return 1
+        case "every_n_batches":
+            return max(1, -(-rows // (every * batch)))
+        case "per_partition":
+            return partitions
+    raise ValueError(f"no commit strategy {strategy}")
+
+
+def write_tables(tables: Mapping[str, DataFrame], url: str, levels: Sequence[Sequence[str]] | None = None, at_once: int = 8, unordered: bool = False, dialect: str = "default", properties: Mapping[str, str] | None = None, **options) -> None:
+    """Tables into a database, level by level, those of one level at the same time; one by one in the given order without levels.
+
+    unordered: all at once with foreign keys not enforced in the sessions that write, where the
+    database and the role allow it, else as before. A table is a transaction for each of its partitions.
+    """
+    own = properties
+    if unordered and tables:
+        spark = next(iter(tables.values())).sparkSession
+        found = unordered_properties(spark, url, dialect, properties)
+        if found is not None:
+            own, levels = found, [list(tables)]
+    waves = [[n] for n in tables] if levels is None else levels
+    for wave in waves:
+        together(at_once, [lambda n=n: write_table(tables[n], url, n, own, dialect=dialect, **options) for n in wave if n in tables])
 
 
 def catalog_schema(spark: SparkSession, database: str | None = None) -> SchemaModel:

@@ -97,3 +97,83 @@ def test_stream_has_the_values_of_the_batch(spark, tmp_path):
     found = {r.value: r.k for r in spark.table("generated").collect()}
     want = {r.id: r.k for r in g.with_columns(spark.range(max(found) + 1), "id", columns).collect()}
     assert found and all(want[v] == k for v, k in found.items())
+
+
+def test_descriptor_round_trip(spark):
+    columns = {"id": (g.sequential(3, 9), 1), "t": (g.variable_string(2, 9, True, True), 2), "w": (g.weighted({"a": 1, "b": 2}), 3), "d": (g.scaled_decimal(0, 5, 2), 4), "n": (g.normal(5.0, 2.0), 5), "z": (g.zipf(1, 90, 1.2), 6), "x": (g.any_text(3), 7), "when": (g.instant(), 8), "c": (g.constant(7, "INT"), 9)}
+    back, rows = files.from_descriptor(files.descriptor(columns, 70))
+    assert rows == 70 and list(back) == list(columns)
+    assert verify.differences(files.generate(spark, columns, rows), files.generate(spark, back, rows)).count() == 0
+    with pytest.raises(ValueError):
+        files.from_descriptor('{"rows": 1, "columns": [{"name": "a", "type": "other", "seed": 1}]}')
+
+
+def test_any_text_has_assigned_code_points_only(spark):
+    import unicodedata
+
+    found = [r.t for r in g.with_columns(spark.range(3000), "id", {"t": (g.any_text(10), 4)}).collect()]
+    assert all(len(t) == 10 and all(unicodedata.category(c) not in ("Cn", "Co", "Cs") for c in t) for t in found)
+    assert len({c for t in found for c in t}) > 20_000
+
+
+def test_names_choose_generators():
+    made = Registry().add(plugin)
+    from seedloom.plans.model import ColumnModel
+
+    kind = lambda name: (found := made.find(ColumnModel(name, "VARCHAR", 30))) and found[1](ColumnModel(name, "VARCHAR", 30))
+    assert all(kind(n) is not None for n in ("work_email", "EMAIL_ADDRESS", "billing_city", "w_zip", "postal_code", "home_phone_2", "customer_first_name", "name", "statement"))
+    assert kind("names") is None and kind("rating") is None
+    assert "@example.com" in kind("email_address").sql(g.SPARK, ["1", "2"], "0") and "555-01" not in kind("city").sql(g.SPARK, ["1"], "0")
+
+
+def test_bounds_are_met(spark):
+    made = g.with_columns(spark.range(2000), "id", {"a": (g.between(0.1, 0.3, False, True), 1), "b": (g.between(1.0, 1.0000000000000004, False, False), 2)}).agg({"a": "min", "b": "max"}).first()
+    assert made[0] > 0.1 and made[1] == 1.0000000000000002
+    from seedloom.plans import constraints
+    from seedloom.plans.model import ColumnConstraint, ColumnModel
+
+    for kind in ("DOUBLE", "REAL"):
+        rule = ColumnConstraint(least=0.1, least_inclusive=False, most=0.10000001, most_inclusive=True)
+        gen = constraints.generator(ColumnModel("c", kind), rule)
+        if gen is not None:
+            found = g.with_columns(spark.range(300), "id", {"c": (gen, 3)})
+            assert found.filter(f"NOT ({constraints.predicate('CAST(c AS DOUBLE)', rule)})").count() == 0
+    assert constraints.generator(ColumnModel("c", "DOUBLE"), ColumnConstraint(least=1.0, least_inclusive=False, most=1.0)) is None
+
+
+def test_tables_are_written_at_once(spark, tmp_path):
+    made = {f"t{i}": files.generate(spark, {"a": (g.integer(), i)}, 100) for i in range(6)}
+    files.write_tables(made, str(tmp_path / "all"))
+    assert all(verify.differences(df, spark.read.parquet(str(tmp_path / "all" / f"{n}.parquet"))).count() == 0 for n, df in made.items())
+    with pytest.raises(Exception, match="(?i)exists"):
+        files.write_tables(made, str(tmp_path / "all"))
+    files.write_text(made["t1"], str(tmp_path / "text"), "pipe")
+    assert list((tmp_path / "text").glob("*.txt")) and not list((tmp_path / "text").glob("*.csv"))
+
+
+def test_places_from_a_file(spark, tmp_path):
+    from seedloom.functions.semantic import read_places
+
+    (tmp_path / "p.csv").write_text("# a comment\ncity,st,state,zip,area\nAustin,TX,Texas,78701,512\n\nBoise,ID,Idaho,83702,208\n")
+    assert read_places(spark, str(tmp_path / "p.csv")) == (("Austin", "TX", "Texas", "78701", "512"), ("Boise", "ID", "Idaho", "83702", "208"))
+    with pytest.raises(ValueError):
+        read_places(spark, str(tmp_path / "p.csv"), 1)
+
+
+def test_distributions(spark):
+    """Shares and moments, apart from the formulas by which they are made."""
+    n = 40_000
+    columns = {"z": (g.zipf(1, 500, 1.0), 1), "w": (g.weighted({"a": 1, "b": 3, "c": 6}), 2), "m": (g.normal(10.0, 2.0), 3), "s": (g.skewed_timestamp(0, 1_000_000_000, 3.0), 4), "u": (g.integer(0, 10), 5), "k": (g.string(1), 6), "long": (g.string(300, True, True), 7)}
+    rows = g.with_columns(spark.range(n), "id", columns).selectExpr("*", "unix_millis(CAST(s AS TIMESTAMP)) AS ms").toPandas()
+    harmonic = sum(1 / k for k in range(1, 501))
+    for k in (1, 2, 10):
+        assert abs((rows.z == k).mean() - 1 / k / harmonic) < 0.006
+    assert rows.z.max() <= 500 and abs((rows.z <= 20).mean() - sum(1 / k for k in range(1, 21)) / harmonic) < 0.01
+    assert [round((rows.w == v).mean(), 1) for v in "abc"] == [0.1, 0.3, 0.6]
+    assert abs(rows.m.mean() - 10) < 0.05 and abs(rows.m.std() - 2) < 0.05 and abs((abs(rows.m - 10) < 2).mean() - 0.6827) < 0.01
+    assert abs(rows.ms.mean() / 1e9 - 0.75) < 0.01  # the mean of u ** (1 / 3)
+    assert all(abs((rows.u == v).mean() - 0.1) < 0.008 for v in range(10))
+    share = rows.k.value_counts(normalize=True)
+    assert len(share) == 52 and share.max() < 0.025 and share.min() > 0.014
+    every = "".join(rows.long[:500])
+    assert set(map(len, rows.long)) == {300} and len(set(every)) == 62 and max(every.count(c) for c in set(every)) < 1.15 * len(every) / 62
