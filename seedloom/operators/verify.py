@@ -116,7 +116,26 @@ def checksum(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).cast("string").alias("checksum"))
 
 
+def digest(df: DataFrame) -> DataFrame:
+    """As checksum(), of the first 60 bits of the MD5 of each row's dump: any engine that has MD5 can compute it."""
+    bits = F.conv(F.substring(F.md5(_line(df)), 1, 15), 16, 10).cast("decimal(38,0)")
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(bits), F.lit(0).cast("decimal(38,0)")).cast("string").alias("checksum"))
+
+
+def beyond(df: DataFrame, column: str, threshold) -> DataFrame:
+    """The rows above a threshold."""
+    return df.filter(F.col(column) > F.lit(threshold))
+
+
+def projection_differences(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """differences() of some columns, as between runs with other seeds or at other times."""
+    return differences(left.select(*columns), right.select(*columns))
+
+
+def _line(df: DataFrame) -> Column:
+    return F.concat_ws("|", *(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\\N")) for c in df.columns))
+
+
 def dump(df: DataFrame, order: Sequence[str] | None = None) -> DataFrame:
     """One line of text for each row, columns parted by |, nulls as \\N, in order."""
-    cells = [F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in df.columns]
-    return df.orderBy(*(order or df.columns)).select(F.concat_ws("|", *cells).alias("line"))
+    return df.orderBy(*(order or df.columns)).select(_line(df).alias("line"))

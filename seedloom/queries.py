@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from .functions import generators as g
 from .functions import keys, semantic
 from .functions.generators import duck_columns, with_columns
-from .functions.mixing import duck_mixed
-from .operators import verify
+from .functions.mixing import FIRST, GAMMA, SECOND, duck_draws, duck_mixed
+from .operators import catalog, verify
 from .plans import constraints, graph, tpcc
 from .plans.model import ColumnConstraint
 
@@ -75,18 +75,19 @@ def child_expand(spark, sf_dir):
     return keys.expanded(counted, "cnt")
 
 
-_RANGE = "(SELECT range AS id FROM range(15000))"
+# as many parents as there are orders
+_RANGE = "(SELECT range AS id FROM range((SELECT count(*) FROM orders)))"
 _RANGE_COUNTED = duck_columns(_RANGE, "id", {"cnt": (g.child_count(0, 7, 42), 42)}, "id")
 
 
 @_query(f"SELECT CAST(sum(cnt) AS BIGINT) AS total FROM ({_RANGE_COUNTED})")
 def child_total(spark, sf_dir):
-    return keys.total(spark, 15_000, 0, 7, 42)
+    return keys.total(spark, read(spark, sf_dir, "orders").count(), 0, 7, 42)
 
 
 @_query(f"SELECT parent, CAST(p AS INT) AS position, CAST(before + p AS BIGINT) AS id FROM (SELECT id AS parent, before, unnest(range(cnt)) AS p FROM (SELECT id, cnt, sum(cnt) OVER (ORDER BY id) - cnt AS before FROM ({_RANGE_COUNTED})))")
 def child_lines(spark, sf_dir):
-    return keys.lines(spark, 15_000, 0, 7, 42)
+    return keys.lines(spark, read(spark, sf_dir, "orders").count(), 0, 7, 42)
 
 
 @_query(f"SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_orderkey // 10 ORDER BY z, o_orderkey) AS INT) AS place FROM (WITH {duck_mixed('orders', {'z': 'o_orderkey::HUGEINT + (77)'})} SELECT * FROM m)")
@@ -94,7 +95,20 @@ def permutation_ranked(spark, sf_dir):
     return keys.ranked_permutation(read(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 10, 77, "place", 1)
 
 
-@_query()
+_EVERY = 1 << 64
+_ROUND = f"(SELECT *, ((r::UHUGEINT * {GAMMA}::UHUGEINT + key::UHUGEINT + step::UHUGEINT * {FIRST}::UHUGEINT) % {_EVERY}::UHUGEINT)::UBIGINT AS z FROM walk WHERE step <= 4)"
+_ROUND = f"(SELECT *, (xor(z, z >> 30)::UHUGEINT * {FIRST}::UHUGEINT % {_EVERY}::UHUGEINT)::UBIGINT AS y FROM {_ROUND})"
+_ROUND = f"(SELECT *, (xor(y, y >> 27)::UHUGEINT * {SECOND}::UHUGEINT % {_EVERY}::UHUGEINT)::UBIGINT AS x FROM {_ROUND})"
+_ROUND = f"(SELECT o, key, step, r AS l, xor(l, xor(x, x >> 31) & 3) AS r FROM {_ROUND})"
+
+
+# four rounds on two halves of two bits, keyed by the run of ten rows, and again until the value is below ten
+@_query(
+    f"WITH RECURSIVE {duck_mixed('orders', {'k': 'o_orderkey // 10 + 77'})}, walk(o, key, l, r, step) AS ("
+    f"SELECT o_orderkey, CASE WHEN k < 0 THEN (k::HUGEINT + {_EVERY}::HUGEINT)::UBIGINT ELSE k::UBIGINT END, (o_orderkey % 10 // 4)::UBIGINT, (o_orderkey % 4)::UBIGINT * 0 + (o_orderkey % 10 % 4)::UBIGINT, 1 FROM m "
+    f"UNION ALL SELECT o, key, l, r, CASE WHEN step < 4 THEN step + 1 WHEN l * 4 + r < 10 THEN 5 ELSE 1 END FROM {_ROUND}) "
+    "SELECT o AS o_orderkey, CAST(l * 4 + r + 1 AS INT) AS place FROM walk WHERE step = 5"
+)
 def permutation_keyed(spark, sf_dir):
     return keys.keyed_permutation(read(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 10, 77, "place", 1)
 
@@ -111,7 +125,15 @@ def fk_wraparound(spark, sf_dir):
     return keys.wrapped_key(read(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", "fk", parents, 100)
 
 
-@_query()
+_DRAWS = duck_draws("orders", "o_orderkey", {"u": (5, 0)}, "m")
+
+
+# ranks 0, 1 ... with the share of all ranks up to each; the last share, one, is left out
+@_query(
+    f"WITH {_DRAWS}, w AS (SELECT range AS k, CASE WHEN range = 0 THEN 0.0::DOUBLE ELSE power(range::DOUBLE, -1.1::DOUBLE) END AS v FROM range(1000001)), t AS (SELECT sum(v) AS total FROM w), "
+    "c AS (SELECT k, sum(v / total) OVER (ORDER BY k) AS share FROM w, t), d AS (SELECT o_orderkey, CAST(u // 1024 AS DOUBLE) * 1.1102230246251565e-16::DOUBLE AS x FROM m) "
+    "SELECT o_orderkey, CAST(k + 1 AS INT) AS k FROM d ASOF JOIN (SELECT * FROM c WHERE k < 1000000) c ON d.x >= c.share"
+)
 def zipf_large(spark, sf_dir):
     return keys.zipf_column(read(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", "k", 1_000_000, 1.1, 5)
 
@@ -208,9 +230,124 @@ def dataset_differences(spark, sf_dir):
     return verify.differences(rows.drop("l_returnflag"), rows.filter("l_returnflag <> 'R'").drop("l_returnflag"))
 
 
-@_query()
+@_query("SELECT count(*) AS n_rows, CAST(sum(CAST('0x' || substr(md5(concat_ws('|', o_orderkey, o_custkey, o_orderstatus, CAST(o_totalprice AS DECIMAL(18,2)), o_orderpriority)), 1, 15) AS BIGINT)) AS VARCHAR) AS checksum FROM orders")
 def table_checksum(spark, sf_dir):
-    return verify.checksum(verify.without_temporal(read(spark, sf_dir, "orders")))
+    rows = read(spark, sf_dir, "orders").withColumn("o_totalprice", F.col("o_totalprice").cast("decimal(18,2)"))
+    return verify.digest(verify.without_temporal(rows))
+
+
+@_query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 150000")
+def subset_above(spark, sf_dir):
+    return verify.beyond(read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", 150_000.0)
+
+
+# two seeds give other numbers, but the same keys
+_SEEDS = [duck_columns("(SELECT range AS id FROM range(2000))", "id", {"v": (g.integer(0, 50), s)}, "id") for s in (11, 12)]
+
+
+@_query(f"SELECT id, v, CAST(greatest(sum(d), 0) AS BIGINT) AS only_left, CAST(greatest(-sum(d), 0) AS BIGINT) AS only_right FROM (SELECT id, v, 1 AS d FROM ({_SEEDS[0]}) UNION ALL SELECT id, v, -1 FROM ({_SEEDS[1]})) GROUP BY 1, 2 HAVING sum(d) <> 0")
+def seed_differences(spark, sf_dir):
+    one, other = (with_columns(spark.range(2000), "id", {"v": (g.integer(0, 50), s), "t": (g.string(8), s)}) for s in (11, 12))
+    return verify.projection_differences(one, other, ["id", "v"])
+
+
+@_query("SELECT CAST(0 AS BIGINT) AS changed_moments, CAST(2000 AS BIGINT) AS n_rows")
+def temporal_reproducibility(spark, sf_dir):
+    """Two runs of the same seed, differently parted, have the same instants."""
+    made = [with_columns(spark.range(0, 2000, 1, n), "id", {"ts": (g.timestamp(), 3), "d": (g.date(), 4), "c": (g.time(), 5), "s": (g.skewed_timestamp(), 6)}) for n in (1, 5)]
+    changed = verify.projection_differences(*made, ["id", "ts", "d", "c", "s"]).agg(F.count(F.lit(1)).alias("changed_moments"))
+    return changed.join(F.broadcast(made[0].agg(F.count(F.lit(1)).alias("n_rows"))))  # one row each
+
+
+@_query("SELECT l_orderkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 7 <> 0)")
+def orphans_of_a_part(spark, sf_dir):
+    """Lines whose order isn't among those that are left."""
+    left = read(spark, sf_dir, "orders").filter("o_orderkey % 7 <> 0")
+    return verify.orphans(read(spark, sf_dir, "lineitem").select("l_orderkey"), left.select("o_orderkey"), {"l_orderkey": "o_orderkey"})
+
+
+@_query("SELECT l_orderkey, l_linenumber FROM lineitem a WHERE NOT EXISTS (SELECT 1 FROM lineitem b WHERE b.l_orderkey = a.l_orderkey AND b.l_linenumber = a.l_linenumber AND b.l_quantity > 10)")
+def orphans_by_two_keys(spark, sf_dir):
+    rows = read(spark, sf_dir, "lineitem")
+    some = rows.filter("l_quantity > 10").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"))
+    return verify.orphans(rows.select("l_orderkey", "l_linenumber"), some, {"l_orderkey": "k", "l_linenumber": "n"})
+
+
+def _expected_shares() -> dict[str, tuple[g.Gen, dict[str, float]]]:
+    """What the definitions of distributions say about shares of values: written down apart from the generators."""
+    harmonic = sum(1 / k for k in range(1, 201))
+    return {
+        "weighted": (g.weighted({"a": 1, "b": 3, "c": 6}), {"v = 'a'": 0.1, "v = 'b'": 0.3, "v = 'c'": 0.6}),
+        "zipf": (g.zipf(1, 200, 1.0), {f"v = {k}": 1 / k / harmonic for k in (1, 2, 3, 10)} | {"v > 200 OR v < 1": 0.0}),
+        "normal": (g.normal(10.0, 2.0), {"v < 10": 0.5, "abs(v - 10) < 2": 0.6827, "abs(v - 10) < 4": 0.9545}),
+        "uniform": (g.integer(0, 8), {f"v = {k}": 0.125 for k in range(8)} | {"v NOT BETWEEN 0 AND 7": 0.0}),
+        "boolean": (g.boolean(), {"v": 0.5}),
+        "skewed": (g.skewed_timestamp(0, 8_000_000, 3.0), {"unix_millis(CAST(v AS TIMESTAMP)) < 1000000": 0.125 ** 3, "unix_millis(CAST(v AS TIMESTAMP)) >= 4000000": 0.875}),
+        "credit": (tpcc.credit(), {"v = 'BC'": 0.1}),
+        "letters": (g.string(1), {f"v = '{c}'": 1 / 52 for c in "AZaz"} | {"v NOT RLIKE '^[A-Za-z]$'": 0.0}),
+    }
+
+
+_SHARES = [(name, test, share) for name, (_, tests) in _expected_shares().items() for test, share in tests.items()]
+
+
+@_query("SELECT kind, test, CAST(true AS BOOLEAN) AS near FROM (VALUES {}) t(kind, test)".format(", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t, _ in _SHARES)))
+def shares_of_values(spark, sf_dir):
+    """Whether the share of values that pass a test is within five standard errors of what the distribution's definition says."""
+    n, rows = 100_000, None
+    for name, (gen, tests) in _expected_shares().items():
+        made = with_columns(spark.range(n), "id", {"v": (gen, 1_000_003)})
+        seen = made.agg(*(F.avg(F.expr(t).cast("double")).alias(f"t{i}") for i, t in enumerate(tests)))
+        checked = [F.struct(F.lit(name).alias("kind"), F.lit(t).alias("test"), (F.abs(F.col(f"t{i}") - share) <= 5 * (share * (1 - share) / n) ** 0.5 + 1e-4 * (name == "normal")).alias("near")) for i, (t, share) in enumerate(tests.items())]
+        one = seen.select(F.inline(F.array(*checked)))
+        rows = one if rows is None else rows.unionAll(one)
+    return rows
+
+
+# --- a recorded catalog ---
+
+_CATALOG = {
+    "pg_namespace": ("oid int, nspname string", [(1, "public"), (2, "other")]),
+    "pg_class": ("oid int, relname string, relnamespace int", [(10, "orders", 1), (11, "items", 1), (12, "orders", 2)]),
+    "pg_type": ("oid int, typname string", [(20, "state"), (21, "int4"), (22, "size")]),
+    "pg_enum": ("enumtypid int, enumsortorder double, enumlabel string", [(20, 3.0, "done"), (20, 1.0, "new"), (20, 1.5, "it's"), (22, 1.0, "S"), (22, 2.0, "L")]),
+    "pg_attribute": ("attrelid int, attname string, atttypid int, attnum int, attisdropped boolean", [(10, "state", 20, 1, False), (10, "n", 21, 2, False), (10, "gone", 20, 3, True), (10, "ctid", 20, -1, False), (11, "size", 22, 1, False), (12, "state", 20, 1, False), (11, "price", 21, 2, False)]),
+    "pg_constraint": ("conrelid int, contype string, conkey array<int>, convalidated boolean, definition string", [(10, "c", [2], True, "CHECK ((n > 0))"), (10, "c", [1, 2], True, "CHECK ((n > 0) OR (state = 'new'))"), (11, "c", [2], True, "CHECK ((price BETWEEN 1 AND 9))"), (11, "f", [1], False, "FOREIGN KEY"), (12, "f", [1], True, "FOREIGN KEY"), (10, "p", [2], True, "PRIMARY KEY")]),
+}
+
+
+def _catalog(spark: SparkSession, *names: str) -> list[DataFrame]:
+    return [spark.createDataFrame(_CATALOG[n][1], _CATALOG[n][0]) for n in names]
+
+
+def _literal(v) -> str:
+    if isinstance(v, list):
+        return f"[{', '.join(map(_literal, v))}]"
+    return "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
+
+
+def _with(*names: str) -> str:
+    """The recorded tables as CTEs."""
+    columns = {n: ", ".join(c.split(" ")[0] for c in _CATALOG[n][0].split(", ")) for n in names}
+    return "WITH " + ", ".join(f"{n}({columns[n]}) AS (VALUES {', '.join('(' + ', '.join(map(_literal, r)) + ')' for r in _CATALOG[n][1])})" for n in names)
+
+
+_LIVE = "pg_attribute a JOIN pg_class c ON c.oid = a.attrelid JOIN pg_namespace s ON s.oid = c.relnamespace"
+
+
+@_query(f"{_with('pg_attribute', 'pg_class', 'pg_namespace', 'pg_type', 'pg_enum')} SELECT nspname AS schema_name, relname AS table_name, attname AS column_name, CAST(row_number() OVER (PARTITION BY attrelid, attnum ORDER BY enumsortorder) AS INT) AS place, enumlabel AS label FROM {_LIVE} JOIN pg_type t ON t.oid = a.atttypid JOIN pg_enum e ON e.enumtypid = t.oid WHERE attnum > 0 AND NOT attisdropped")
+def enum_catalog(spark, sf_dir):
+    return catalog.enum_columns(*_catalog(spark, "pg_attribute", "pg_class", "pg_namespace", "pg_type", "pg_enum"))
+
+
+@_query(f"{_with('pg_attribute', 'pg_class', 'pg_namespace', 'pg_constraint')} SELECT nspname AS schema_name, relname AS table_name, attname AS column_name, definition AS rule FROM {_LIVE} JOIN pg_constraint k ON k.conrelid = a.attrelid AND list_contains(k.conkey, a.attnum) WHERE contype = 'c' AND len(conkey) = 1 AND attnum > 0 AND NOT attisdropped")
+def check_catalog(spark, sf_dir):
+    return catalog.check_columns(*_catalog(spark, "pg_attribute", "pg_class", "pg_namespace", "pg_constraint"))
+
+
+@_query(f"{_with('pg_constraint')} SELECT count(*) AS n FROM pg_constraint WHERE contype = 'f' AND NOT convalidated")
+def unvalidated_keys(spark, sf_dir):
+    return catalog.unvalidated_keys(*_catalog(spark, "pg_constraint"))
 
 
 @_query("SELECT concat_ws('|', coalesce(CAST(n_nationkey AS VARCHAR), '\\N'), coalesce(n_name, '\\N'), coalesce(CAST(n_regionkey AS VARCHAR), '\\N')) AS line FROM nation ORDER BY n_nationkey")
@@ -270,19 +407,19 @@ _SCALE = dict(items=200, districts=10, customers=30, new_orders=10)
 _W = 2
 
 
-@_query("SELECT * FROM (VALUES ('warehouse', 2), ('item', 200), ('stock', 400), ('district', 20), ('customer', 600), ('history', 600), ('open_order', 600), ('new_order', 200)) t(table_name, n_rows)".replace("SELECT *", "SELECT table_name, CAST(n_rows AS BIGINT) AS n_rows"))
+_LINES = duck_columns("(SELECT range AS id FROM range(600))", "id", {"cnt": (g.child_count(5, 15, tpcc.COUNT_SALT), 1)}, "id")
+
+
+@_query(f"SELECT table_name, CAST(n_rows AS BIGINT) AS n_rows FROM (VALUES ('warehouse', 2), ('item', 200), ('stock', 400), ('district', 20), ('customer', 600), ('history', 600), ('open_order', 600), ('new_order', 200)) t(table_name, n_rows) UNION ALL SELECT 'order_line', CAST(sum(cnt) AS BIGINT) FROM ({_LINES})")
 def tpcc_rows(spark, sf_dir):
     made = tpcc.tables(spark, _W, **_SCALE)
-    counts = [df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(n).alias("table_name"), "n_rows") for n, df in made.items() if n != "order_line"]
+    counts = [df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(n).alias("table_name"), "n_rows") for n, df in made.items()]
     out = counts[0]
     for c in counts[1:]:
         out = out.unionAll(c)
     return out
 
 
-_LINES = duck_columns("(SELECT range AS id FROM range(600))", "id", {"cnt": (g.child_count(5, 15, tpcc.COUNT_SALT), 1)}, "id")
-
-
 @_query(f"SELECT CAST(1 + id // 300 AS INT) AS ol_w_id, CAST(1 + id // 30 % 10 AS INT) AS ol_d_id, CAST(1 + id % 30 AS INT) AS ol_o_id, CAST(p + 1 AS INT) AS ol_number, CAST(1 + (before + p) % 200 AS INT) AS ol_i_id, 1 + id % 30 <= 20 AS delivered FROM (SELECT id, before, unnest(range(cnt)) AS p FROM (SELECT id, cnt, sum(cnt) OVER (ORDER BY id) - cnt AS before FROM ({_LINES})))")
 def tpcc_order_line(spark, sf_dir):
     made = tpcc.tables(spark, _W, **_SCALE)["order_line"]
