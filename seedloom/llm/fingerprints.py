@@ -10,6 +10,7 @@ All draws come from a hash of the term, so they are the same in every task.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 from collections import Counter
 
@@ -17,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,8 +28,10 @@ from .tokenizing import slices
 SAMPLES = 64
 #: Entries that a worker process keeps of terms that stand once, and of (term, count) pairs.
 ONCE, OFTEN = 300_000, 80_000
-#: Bytes of text for each bucket of the ordered pass, and the most buckets.
-BUCKET_BYTES, MOST_BUCKETS = 16_000_000, 4096
+#: Bytes of text for each bucket of the ordered pass, and the most buckets: their limits are kept in each task. Buckets are read as streams.
+BUCKET_BYTES, MOST_BUCKETS = 16_000_000, 100_000
+#: Rows that are looked at for each bucket to find its limits.
+LOOKS = 20
 _SMALLEST = -(1 << 63)
 
 _U = np.uint64
@@ -143,50 +147,71 @@ def likeness(a: str, b: str) -> float:
     return sum(a[i : i + 4] == b[i : i + 4] for i in range(0, len(a), 4)) / (len(a) // 4)
 
 
-def in_order(docs: DataFrame) -> tuple[DataFrame, int]:
-    """bucket, extra, key, tie, packed text: buckets of neighbouring ids.
+def in_order(docs: DataFrame, bucket_bytes: int | None = None) -> tuple[DataFrame, int]:
+    """bucket, extra, key, tie, seq, doc_id, packed text: buckets of neighbouring rows, and their number.
 
-    The first row of each bucket is also in the bucket before it, as `extra`
-    (the first of all in the last one), so a sorted bucket knows the successor
-    of each of its rows. Bucket limits come from quantiles of the ids, at most MOST_BUCKETS.
+    Rows go by (key, tie, seq): the id, a hash of the text, and the row's place in the input, so that rows that
+    share an id, or are equal, need not lie in one bucket. The first row of each bucket is also in the bucket before it, as `extra`
+    (the first of all in the last one), so a sorted bucket knows the successor of each of its rows.
+    The limits between buckets come from some rows of each, evenly by bytes; they only change where the work is done.
     """
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_SMALLEST)).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    n_bytes = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    buckets = int(min(MOST_BUCKETS, 1 + n_bytes // BUCKET_BYTES))
-    bounds = rows.agg(F.percentile_approx("key", [i / buckets for i in range(1, buckets)], 10 * MOST_BUCKETS)).first()[0] if buckets > 1 else []
-    limits = np.unique(np.array(bounds or [], np.int64))
+    n_bytes = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 100), F.lit(0))).first()[0]
+    buckets = int(min(MOST_BUCKETS, 1 + n_bytes // (bucket_bytes or BUCKET_BYTES)))
+    step = max(1, n_bytes // (buckets * LOOKS))
 
-    def smallest(batches):
-        low: dict[int, int] = {}
+    def placed(batches):
+        """Keys, ties, numbers of rows, and raw texts, batch by batch."""
+        first = TaskContext.get().partitionId() << 40
         for b in batches:
-            keys = b.column(0).to_numpy()
-            at = np.searchsorted(limits, keys, "left")
-            for k in np.unique(at):
-                low[int(k)] = min(low.get(int(k), (1 << 63) - 1), int(keys[at == k].min()))
-        yield pa.RecordBatch.from_arrays([pa.array(low.keys(), pa.int32()), pa.array(low.values(), pa.int64())], ["bucket", "low"])
+            raw = [t.encode() for t in b.column(2).to_pylist()]
+            yield b, b.column(0).to_pylist(), [xxhash.xxh3_64_intdigest(t) - (1 << 63) for t in raw], list(range(first, first + len(raw))), raw
+            first += len(raw)
+
+    def looked(batches):
+        size = 0
+        for _, keys, ties, seqs, raw in placed(batches):
+            ends = size + np.cumsum([len(t) + 100 for t in raw]) if raw else np.zeros(0, np.int64)
+            some = np.flatnonzero(ends // step != np.concatenate([[size], ends[:-1]]) // step).tolist()
+            size = int(ends[-1]) if len(ends) else size
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for i in some], pa.int64()) for x in (keys, ties, seqs)], ["key", "tie", "seq"])
+
+    limits: list[tuple[int, int, int]] = []
+    if buckets > 1:
+        # at most LOOKS rows for each bucket, and one for each input split
+        found = sorted(map(tuple, rows.mapInArrow(looked, "key long, tie long, seq long").collect()))
+        limits = sorted({found[len(found) * i // buckets] for i in range(1, buckets)}) if found else []
 
-    firsts = sorted((r.bucket, r.low) for r in rows.select("key").mapInArrow(smallest, "bucket int, low long").groupBy("bucket").agg(F.min("low").alias("low")).collect())
+    def smallest(batches):
+        low: dict[int, tuple] = {}
+        for _, *own in placed(batches):
+            for row in zip(*own[:3]):
+                at = bisect.bisect_right(limits, row)
+                if at not in low or row < low[at]:
+                    low[at] = row
+        yield pa.RecordBatch.from_arrays([pa.array(low.keys(), pa.int32()), *(pa.array([v[i] for v in low.values()], pa.int64()) for i in range(3))], ["bucket", "key", "tie", "seq"])
+
+    lowest = rows.mapInArrow(smallest, "bucket int, key long, tie long, seq long").groupBy("bucket").agg(F.min(F.struct("key", "tie", "seq")).alias("low")).collect()
+    firsts = sorted((r.bucket, tuple(r.low)) for r in lowest)
     before = {low: firsts[i - 1][0] for i, (_, low) in enumerate(firsts)}
 
     def dealt(batches):
         pack = zstandard.ZstdCompressor(level=1)
-        for b in batches:
-            keys, texts = b.column(0).to_numpy(), b.column(2).to_pylist()
-            raw = [t.encode() for t in texts]
-            packed, ties = [pack.compress(t) for t in raw], [xxhash.xxh3_64_intdigest(t) - (1 << 63) for t in raw]
-            at = np.searchsorted(limits, keys, "left").tolist()
-            own = list(range(len(texts)))
-            more = [i for i, k in enumerate(keys.tolist()) if k in before]
-            out = own + more
+        for b, keys, ties, seqs, raw in placed(batches):
+            packed = [pack.compress(t) for t in raw]
+            own = list(zip(keys, ties, seqs))
+            more = [i for i, row in enumerate(own) if row in before]
+            out = [*range(len(raw)), *more]
+            where = [bisect.bisect_right(limits, row) for row in own] + [before[own[i]] for i in more]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(at + [before[int(keys[i])] for i in more], pa.int32()), pa.array([False] * len(own) + [True] * len(more)), pa.array([int(keys[i]) for i in out], pa.int64()),
-                    pa.array([ties[i] for i in out], pa.int64()), b.column(1).take(pa.array(out, pa.int64())), pa.array([packed[i] for i in out], pa.binary()),
+                    pa.array(where, pa.int32()), pa.array([False] * len(raw) + [True] * len(more)), *(pa.array([x[i] for i in out], pa.int64()) for x in (keys, ties, seqs)),
+                    b.column(1).take(pa.array(out, pa.int64())), pa.array([packed[i] for i in out], pa.binary()),
                 ],
-                ["bucket", "extra", "key", "tie", "doc_id", "packed"],
+                ["bucket", "extra", "key", "tie", "seq", "doc_id", "packed"],
             )
 
-    return rows.mapInArrow(dealt, "bucket int, extra boolean, key long, tie long, doc_id long, packed binary"), max(1, len(firsts))
+    return rows.mapInArrow(dealt, "bucket int, extra boolean, key long, tie long, seq long, doc_id long, packed binary"), len(limits) + 1
 
 
 def edited(text: str, after: str) -> str:
@@ -195,21 +220,22 @@ def edited(text: str, after: str) -> str:
     return text[: len(text) - half] + after[:half]
 
 
-def compare_neighbours(docs: DataFrame) -> DataFrame:
+def compare_neighbours(docs: DataFrame, bucket_bytes: int | None = None) -> DataFrame:
     """Each row's fingerprint, its edited text's, and their likeness to it and its successor's.
 
     Successors go by ascending doc_id; rows with one id are ordered by their
     texts' hashes, null ids come first, a lone row follows itself. Null text
     counts as empty; texts without words have a fingerprint of zeros and are alike.
+    A text of any length is taken whole; an empty table gives no rows; other columns are not read.
     """
-    rows, buckets = in_order(docs)
-    rows = rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "extra", "key", "tie")
+    rows, buckets = in_order(docs, bucket_bytes)
+    rows = rows.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "extra", "key", "tie", "seq")
 
     def run(batches):
         unpack = zstandard.ZstdDecompressor()
         last = None  # bucket, doc_id, text, signature of the row whose successor isn't known yet
         for b in batches:
-            cols = [b.column(i).to_pylist() for i in (0, 1, 4, 5)]
+            cols = [b.column(i).to_pylist() for i in (0, 1, 5, 6)]
             for i, j in slices(cols[3], [3 * len(x) + 50 for x in cols[3]], 2_000_000):
                 texts = [unpack.decompress(x).decode() for x in cols[3][i:j]]
                 marks = draws().signatures(texts)

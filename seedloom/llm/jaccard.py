@@ -42,7 +42,7 @@ CHUNK, FEWEST = 1_000_000, 100
 #: Shingles of the pieces of work that are put together in a task.
 TASK = 4_000_000
 #: Shingles of one edge of the tree; bytes that a step of the walk takes.
-EDGE, STEP = 8, 32_000_000
+EDGE, STEP = 16, 32_000_000
 #: Ids up to which a table is broadcast, 16 bytes each.
 MOST_BROADCAST = 500_000
 

@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -203,6 +204,40 @@ def blocks(docs: DataFrame, most: int = BLOCK) -> DataFrame:
     return rows.mapInArrow(run, "block long, doc_id long, held_out boolean, n_tokens long, bag binary, words array<string>, counts array<long>")
 
 
+def _new(n: np.ndarray, logp: np.ndarray) -> np.ndarray:
+    """Log probabilities from expected uses, and a little for every piece that had any probability."""
+    n = n + np.where(np.isfinite(logp), FLOOR, 0.0)
+    with np.errstate(divide="ignore"):
+        return np.log(n / n.sum())
+
+
+def plain_likelihoods(counts: DataFrame, logp: np.ndarray, vocabulary: str) -> DataFrame:
+    """word, c, plain: each word's log probability by the vocabulary's own weights; and piece, n: the expected uses by
+    training words, one row for each piece and task. counts: word, c."""
+    schema = pa.schema([("word", pa.string()), ("c", pa.int64()), ("plain", pa.float64()), ("piece", pa.int32()), ("n", pa.float64())])
+
+    def run(batches):
+        total, pieces = np.zeros(len(logp)), pieces_of(vocabulary)
+        for b in batches:
+            words, c = b.column(0).to_pylist(), b.column(1).to_numpy(zero_copy_only=False)
+            plain = np.zeros(len(words))
+            for own, expected in ((np.flatnonzero(c > 0), total), (np.flatnonzero(c <= 0), None)):
+                plain[own] = word_likelihood([words[i] for i in own], pieces, logp, expected)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(plain), pa.nulls(len(words), pa.int32()), pa.nulls(len(words), pa.float64())], schema=schema)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(used), pa.string()), pa.nulls(len(used), pa.int64()), pa.nulls(len(used), pa.float64()), pa.array(used.astype(np.int32)), pa.array(total[used])], schema=schema)
+
+    return counts.select("word", "c").mapInArrow(run, "word string, c long, plain double, piece int, n double")
+
+
+def _uses(rows: DataFrame, size: int) -> np.ndarray:
+    """Sums of piece, n: a number for each piece of the vocabulary at most."""
+    n = np.zeros(size)
+    for r in rows.groupBy("piece").agg(F.sum("n").alias("n")).collect():
+        n[r.piece] = r.n
+    return n
+
+
 def re_estimated(words: DataFrame, logp: np.ndarray, vocabulary: str) -> np.ndarray:
     """Piece log probabilities after one more round over the distinct words."""
 
@@ -213,19 +248,14 @@ def re_estimated(words: DataFrame, logp: np.ndarray, vocabulary: str) -> np.ndar
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["piece", "n"])
 
-    # a number for each piece of the vocabulary at most
-    got = words.select("word").mapInArrow(run, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
-    n = np.where(np.isfinite(logp), FLOOR, 0.0)
-    for r in got:
-        n[r.piece] += r.n
-    with np.errstate(divide="ignore"):
-        return np.log(n / n.sum())
+    return _new(_uses(words.select("word").mapInArrow(run, "piece int, n double"), len(logp)), logp)
 
 
 def score(docs: DataFrame, vocabulary: str = VOCABULARY, rounds: int = ROUNDS, block: int = BLOCK) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row.
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, lattice_score of each row.
 
-    Null text is an empty one: its end is its only token. Rows with a null id
+    lattice_score is the marginal probability over all segmentations with the vocabulary's own weights, and nothing
+    learned but the end of texts; score is the fitted model's. Null text is an empty one: its end is its only token. Rows with a null id
     train the model. Repeated rows count and are scored each. Without training
     text the lattice has the vocabulary's own scores.
     """
@@ -237,37 +267,41 @@ def score(docs: DataFrame, vocabulary: str = VOCABULARY, rounds: int = ROUNDS, b
     s = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.expr("c > 0")).alias("v"), F.count_if(F.expr("c = 1")).alias("once"), F.count_if(F.expr("c = 2")).alias("twice")).first()
     totals = Totals(s.n + t, s.v + (t > 0), t, s.once, s.twice)
     logp = pieces_of(vocabulary).start()
+    plain = written(plain_likelihoods(counts, logp, vocabulary), "lm-plain")
+    weighed = plain.filter("word is not null").select("word", "c", "plain")
     if s.v:
-        for _ in range(rounds):
-            logp = re_estimated(counts.filter("c > 0"), logp, vocabulary)
+        for k in range(rounds):
+            logp = _new(_uses(plain.filter("piece is not null"), len(logp)), logp) if k == 0 else re_estimated(counts.filter("c > 0"), logp, vocabulary)
 
     def weigh(batches):
         for b in batches:
             c = b.column(1).to_numpy(zero_copy_only=False)
             paths = word_likelihood(b.column(0).to_pylist(), pieces_of(vocabulary), logp) + np.log(totals.spread)
             arc = np.where(c > 0, np.maximum(c - totals.discount, 1e-300) / max(1, totals.tokens), 1e-300)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.logaddexp(np.log(arc), paths) / np.log(10))], ["word", "c", "lp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.logaddexp(np.log(arc), paths) / np.log(10)), pc.divide(b.column(2), np.log(10))], ["word", "c", "lp", "plain"])
 
-    known = counts.select("word", "c").mapInArrow(weigh, "word string, c long, lp double")
-    back = local.select("block", "id", "word").join(known, "word").select("block", "id", "c", "lp")
+    known = weighed.mapInArrow(weigh, "word string, c long, lp double, plain double")
+    back = local.select("block", "id", "word").join(known, "word").select("block", "id", "c", "lp", "plain")
 
     def total(left: pa.Table, right: pa.Table) -> pa.Table:
         unpack = zstandard.ZstdDecompressor()
         ids = right["id"].to_numpy()
-        c, lp = np.zeros(len(ids), np.int64), np.zeros(len(ids))
-        c[ids], lp[ids] = right["c"].to_numpy(), right["lp"].to_numpy()
+        c, lp, own = np.zeros(len(ids), np.int64), np.zeros(len(ids)), np.zeros(len(ids))
+        c[ids], lp[ids], own[ids] = right["c"].to_numpy(), right["lp"].to_numpy(), right["plain"].to_numpy()
         base = totals.base(c)
-        known, plain, model = [], [], []
+        end = float(np.log10(totals.end or 1 / (totals.tokens + totals.distinct + 1)))
+        known, plain, model, lattice = [], [], [], []
         for bag in left["bag"].to_pylist():
             at, n = np.frombuffer(unpack.decompress(bag), "<u4").reshape(2, -1).astype(np.int64)
             known.append(int(n[c[at] > 0].sum()) + (totals.texts > 0))
             plain.append(float(n @ base[at]) + float(totals.base(totals.texts)))
-            model.append(float(n @ lp[at]) + float(np.log10(totals.end or 1 / (totals.tokens + totals.distinct + 1))))
+            model.append(float(n @ lp[at]) + end)
+            lattice.append(float(n @ own[at]) + end)
         m = len(known)
-        return pa.table([left["doc_id"], left["held_out"], left["n_tokens"], pa.array(known, pa.int64()), pa.array([totals.tokens] * m, pa.int64()), pa.array(plain, pa.float64()), pa.array(model, pa.float64())], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        return pa.table([left["doc_id"], left["held_out"], left["n_tokens"], pa.array(known, pa.int64()), pa.array([totals.tokens] * m, pa.int64()), *(pa.array(x, pa.float64()) for x in (plain, model, lattice))], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "lattice_score"])
 
     own = texts.withColumnRenamed("block", "of")
-    return own.groupBy("of").cogroup(back.groupBy("block")).applyInArrow(total, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return own.groupBy("of").cogroup(back.groupBy("block")).applyInArrow(total, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, lattice_score double")
 
 
 def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
