@@ -3,8 +3,8 @@
 The count of a pre-token's pieces is a function of the pre-token alone. Texts are cut
 into pre-tokens, block of documents by block; a document becomes a bag of the block's
 pre-token numbers with their frequencies, and a block lists its distinct pre-tokens.
-All distinct pre-tokens of the corpus are encoded once each, joined to the blocks
-that have them, and summed over the bags. What moves is a row for each block and
+The blocks' pre-tokens meet by value: each distinct one of the corpus is encoded once,
+its count goes back to all blocks that have it, and is summed over their bags. What moves is a row for each block and
 distinct pre-token, not one for each document and pre-token, and no ids are made.
 """
 
@@ -26,6 +26,8 @@ VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 1024
 #: Characters of text in a block: its distinct pre-tokens fit in a task.
 BLOCK = 48_000_000
+#: More than a block has pre-tokens, and blocks that a task has at most.
+PLACES, BLOCKS = 1 << 28, 1 << 14
 #: Pre-tokens that are encoded at once.
 BATCH = 20_000
 
@@ -62,7 +64,7 @@ def blocks(docs: DataFrame, vocabulary: str = VOCABULARY, most: int = BLOCK) ->
     def run(batches):
         cut = kept(PreTokens, vocabulary_path(vocabulary))
         pack = zstandard.ZstdCompressor(level=3, write_content_size=True)
-        block, size, numbers = TaskContext.get().partitionId() << 32, 0, {}
+        block, size, numbers = TaskContext.get().partitionId() * BLOCKS, 0, {}
 
         def ended():
             return pa.RecordBatch.from_arrays([pa.array([block]), *(pa.nulls(1, pa.int64()) for _ in range(3)), pa.nulls(1, pa.binary()), pa.array([list(numbers)], pa.list_(pa.string()))], schema=schema)
@@ -90,18 +92,27 @@ def blocks(docs: DataFrame, vocabulary: str = VOCABULARY, most: int = BLOCK) ->
     return rows.mapInArrow(run, "block long, doc_id long, n_bytes long, special long, bag binary, pieces array<string>")
 
 
-def piece_counts(pre_tokens: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """piece, n: the number of tokens of each row's pre-token."""
+def piece_counts(local: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """place, n: for each row (place, piece) the number of tokens of its pre-token.
+
+    Rows meet by pre-token, in order, so each distinct one of the corpus is encoded once, and its number goes
+    to all blocks that have it. A pre-token of many texts has a row for each block, however often it stands there.
+    """
 
     def run(batches):
         lib = tokenizer(vocabulary_path(vocabulary))
+        last, count = None, 0
         for b in batches:
-            for k in range(0, b.num_rows, BATCH):
-                part = b.column(0).slice(k, BATCH)
-                n = [len(e) for e in lib.encode_batch_fast(part.to_pylist(), add_special_tokens=False)]
-                yield pa.RecordBatch.from_arrays([part, pa.array(n, pa.int32())], ["piece", "n"])
+            distinct = b.column(1).dictionary_encode()
+            pieces, at = distinct.dictionary.to_pylist(), distinct.indices.to_numpy()
+            new = pieces[1:] if pieces and pieces[0] == last else pieces
+            known = [len(e) for k in range(0, len(new), BATCH) for e in lib.encode_batch_fast(new[k : k + BATCH], add_special_tokens=False)]
+            n = np.array([count] * (len(pieces) - len(new)) + known, np.int32)
+            if pieces:
+                last, count = pieces[-1], int(n[-1])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n[at])], ["place", "n"])
 
-    return pre_tokens.select("piece").mapInArrow(run, "piece string, n int")
+    return local.repartition("piece").sortWithinPartitions("piece").select("place", "piece").mapInArrow(run, "place long, n int")
 
 
 def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = LIMIT, block: int = BLOCK) -> DataFrame:
@@ -114,10 +125,9 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = LIM
     PreTokens(vocabulary_path(vocabulary))
     cut = written(blocks(docs, vocabulary, block), "token-blocks")
     texts = cut.filter("bag is not null").select(F.col("block").alias("of"), "doc_id", "n_bytes", "special", "bag")
-    local = cut.filter("pieces is not null").select("block", F.posexplode("pieces").alias("id", "piece"))
-    counted = piece_counts(local.select("piece").distinct(), vocabulary)
-    # shuffled: every distinct pre-token of the corpus is on one side
-    known = local.join(counted.hint("shuffle_hash"), "piece").select("block", "id", "n")
+    # one number for a block and the pre-token's place in it: rows that move are few bytes
+    local = cut.filter("pieces is not null").select("block", F.posexplode("pieces").alias("id", "piece")).select((F.col("block") * PLACES + F.col("id")).alias("place"), "piece")
+    known = piece_counts(local, vocabulary).select(F.expr(f"place div {PLACES}").alias("block"), (F.col("place") % PLACES).cast("int").alias("id"), "n")
 
     def total(left: pa.Table, right: pa.Table) -> pa.Table:
         unpack = zstandard.ZstdDecompressor()
