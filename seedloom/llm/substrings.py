@@ -1,17 +1,20 @@
 """Exact substring deduplication on a compacted De Bruijn graph of word k-mers.
 
-An edge is a window of k words. Neighbouring edges of one document that have
-the same minimizer (the least hash among the m-word spans inside) form a path,
-so that equal text gives equal paths whatever stands around it. A path is one row:
-minimizer, hash of all its words, number of edges, coordinates.
-
-1. Minimizers that stand in one document only are dropped with their paths.
-2. Equal paths compact to one, with the coordinates of its first document (paths).
-3. A minimizer with a single path doesn't branch: later documents repeat all of its edges.
-4. Where paths branch, the source coordinates lead back to the text of each
-   distinct path, its edges are hashed one by one, and the first document of each is found.
-
-Both joins are by key with pre-aggregated sides; no row holds more than one document.
+An edge is a window of k words; its nodes are the k - 1 words at either end.
+Neighbouring edges of one document that have the same minimizer (the least hash among
+the m-word spans inside) form a run, so that equal text gives equal runs whatever stands around it.
+A run is one row of the edge table: minimizer, hash of all its words, number of edges, its outer nodes, coordinates.
+
+1. Minimizers that stand in one document only are dropped with their runs.
+2. Equal runs become one, with the coordinates of its first document. Where a minimizer
+   has several, edges are taken one by one, from the text at these coordinates.
+3. The degrees of the nodes of all repeated edges and runs tell where the graph doesn't branch. A join
+   brings this to the units; in later documents units that follow one another over
+   nodes that don't branch, from one place of one first document, compact to a path.
+4. Each long path is verified: the words at the source's coordinates and those of the later
+   document must have the same 128-bit digest. Only then they are removed.
+
+Joins are by key with pre-aggregated sides; no row holds more than one document.
 """
 
 from __future__ import annotations
@@ -22,10 +25,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import discard, ids_fit, table, written
 from .hashing import Rolled, sliding_min, word_hashes
 from .tokenizing import slices
 
@@ -33,28 +36,24 @@ K, M = 50, 18
 #: Stands for a null id: later than all others.
 _LAST = (1 << 63) - 1
 
-PATH = "mh long, r1 long, n int, key long, tie int, start int"
+PATH = "mh long, r1 long, n int, key long, tie long, start int, head long, tail long"
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
+    """key, tie (tells rows with one id apart), doc_id, text."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("key")
-    return docs.select(key, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-
-
-def _tie(raw: bytes) -> int:
-    """Tells rows with one id apart."""
-    return xxhash.xxh32_intdigest(raw) - (1 << 31)
+    return docs.select(key, F.xxhash64(text).alias("tie"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
 
 
 def paths_of(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
-    """Each document's paths: PATH. start counts words, a path of n edges has n + k - 1 words."""
+    """Each document's runs: PATH. start counts words, a run of n edges has n + k - 1 words, head and tail are its outer nodes."""
 
     def run(batches):
         for b in batches:
-            keys, texts = b.column(0).to_numpy(), b.column(1).to_pylist()
+            keys, ties, texts = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_pylist()
             for i, j in slices(texts, [len(t) for t in texts], 2_000_000):
-                raw = [t.encode() for t in texts[i:j]]
-                h, ends = word_hashes([r.split() for r in raw])
+                h, ends = word_hashes([t.encode().split() for t in texts[i:j]])
                 if len(h) < k:
                     continue
                 rolled = Rolled(h)
@@ -72,67 +71,144 @@ def paths_of(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
                 stops = np.append(np.flatnonzero(new | ~inside), len(low))
                 n = stops[np.searchsorted(stops, start, "right")] - start
                 doc = np.searchsorted(ends, start, "right")
-                ties = np.array([_tie(r) for r in raw], np.int32)
+                whole_run, head, tail = rolled.spans(start, start + n + k - 1), rolled.spans(start, start + k - 1), rolled.spans(start + n, start + n + k - 1)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(low[start].view(np.int64)), pa.array(rolled.spans(start, start + n + k - 1).view(np.int64)), pa.array(n.astype(np.int32)),
-                        pa.array(keys[i:j][doc]), pa.array(ties[doc]), pa.array((start - begins[doc]).astype(np.int32)),
+                        pa.array(low[start].view(np.int64)), pa.array(whole_run.view(np.int64)), pa.array(n.astype(np.int32)), pa.array(keys[i:j][doc]), pa.array(ties[i:j][doc]),
+                        pa.array((start - begins[doc]).astype(np.int32)), pa.array(head.view(np.int64)), pa.array(tail.view(np.int64)),
                     ],
-                    ["mh", "r1", "n", "key", "tie", "start"],
+                    ["mh", "r1", "n", "key", "tie", "start", "head", "tail"],
                 )
 
-    return _keyed(docs).select("key", "text").mapInArrow(run, PATH)
+    return _keyed(docs).select("key", "tie", "text").mapInArrow(run, PATH)
 
 
-def _packed(docs: DataFrame) -> DataFrame:
-    """key, tie, doc_id, packed: texts compressed before they are shuffled."""
+def _packed(docs: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """key, tie, doc_id, packed: texts, or only those of some (key, tie), compressed before they are shuffled."""
 
     def run(batches):
         pack = zstandard.ZstdCompressor(level=1)
         for b in batches:
-            raw = [t.encode() for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_tie(r) for r in raw], pa.int32()), b.column(1), pa.array([pack.compress(r) for r in raw], pa.binary())], ["key", "tie", "doc_id", "packed"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([pack.compress(t.encode()) for t in b.column(3).to_pylist()], pa.binary())], ["key", "tie", "doc_id", "packed"])
 
-    return _keyed(docs).mapInArrow(run, "key long, tie int, doc_id long, packed binary")
+    rows = _keyed(docs)
+    if only is not None:
+        rows = rows.join(ids_fit(only), ["key", "tie"], "left_semi")
+    return rows.mapInArrow(run, "key long, tie long, doc_id long, packed binary")
 
 
-def repeated(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
-    """key, tie, start, n: runs of edges that also start in a document with a smaller id."""
-    path = ["mh", "r1", "n"]
-    runs = written(paths_of(docs, k, m), "substring-paths")
-    shared = runs.groupBy("mh").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo < hi").select("mh")
-    runs = written(runs.join(shared, "mh", "left_semi"), "substring-shared")
-    paths = written(runs.groupBy(*path).agg(F.min(F.struct("key", "tie", "start")).alias("first")).select(*path, "first.*"), "substring-distinct")
+def _single_edges(docs: DataFrame, sources: DataFrame, k: int) -> DataFrame:
+    """mh, w, head, tail, r1, n, key, tie, first, at: the distinct edges of each path, one by one.
 
-    branching = paths.groupBy("mh").count().filter("count > 1").select("mh")
-    sources = paths.join(branching, "mh", "left_semi").groupBy("key", "tie").agg(F.collect_list(F.struct("start", "n", "mh", "r1")).alias("paths"))
+    sources: key, tie, start, n, mh, r1 of paths in their first documents. w is the edge's hash, first the place of the edge in
+    its document, at its places within the path.
+    """
 
-    def edges(batches):
+    def run(batches):
         unpack = zstandard.ZstdDecompressor()
         for b in batches:
-            out: list[list] = [[], [], [], [], [], []]
-            for key, packed, paths in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+            out: list[list] = [[] for _ in range(10)]
+            for key, tie, packed, paths in zip(*(b.column(i).to_pylist() for i in range(4))):
                 h, _ = word_hashes([unpack.decompress(packed).split()])
-                hashes = Rolled(h).windows(k).view(np.int64)
+                rolled = Rolled(h)
+                hashes, nodes = rolled.windows(k).view(np.int64), rolled.windows(k - 1).view(np.int64)
                 for p in paths:
-                    own = hashes[p["start"] : p["start"] + p["n"]]
-                    value, where = np.unique(own, return_inverse=True)
+                    value, where = np.unique(hashes[p["start"] : p["start"] + p["n"]], return_inverse=True)
                     order = np.argsort(where, kind="stable")
                     for w, at in zip(value.tolist(), np.split(order, np.cumsum(np.bincount(where))[:-1])):
-                        for c, v in zip(out, (p["mh"], w, p["r1"], p["n"], key, at.tolist())):
+                        first = p["start"] + int(at[0])
+                        for c, v in zip(out, (p["mh"], w, int(nodes[first]), int(nodes[first + 1]), p["r1"], p["n"], key, tie, first, at.tolist())):
                             c.append(v)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], ["mh", "w", "r1", "n", "key", "at"])
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], ["mh", "w", "head", "tail", "r1", "n", "key", "tie", "first", "at"])
+
+    lists = sources.groupBy("key", "tie").agg(F.collect_list(F.struct("start", "n", "mh", "r1")).alias("paths"))
+    rows = _packed(docs, sources.select("key", "tie").distinct()).dropDuplicates(["key", "tie"]).join(lists, ["key", "tie"]).select("key", "tie", "packed", "paths")
+    return rows.mapInArrow(run, "mh long, w long, head long, tail long, r1 long, n int, key long, tie long, first int, at array<int>")
+
+
+def unbranched(units: DataFrame) -> DataFrame:
+    """node: those that one unit enters and one leaves. units: head, tail, distinct."""
+    ends = units.select(F.col("tail").alias("node"), F.lit(1).alias("into"), F.lit(0).alias("out")).unionByName(units.select(F.col("head").alias("node"), F.lit(0).alias("into"), F.lit(1).alias("out")))
+    return ends.groupBy("node").agg(F.sum("into").alias("into"), F.sum("out").alias("out")).filter("into = 1 AND out = 1").select("node")
+
+
+def compacted(found: DataFrame) -> DataFrame:
+    """key, tie, start, n, skey, stie, sstart: units of a document that follow one another over unbranched nodes, and in their source, as one path.
+
+    found: units with their places in a later document (key, tie, start, n) and in the first one (skey, stie, sstart), and joins:
+    whether the node before doesn't branch.
+    """
+    line = ["key", "tie", "skey", "stie", "diagonal"]
+    rows = found.withColumn("diagonal", F.col("start") - F.col("sstart")).withColumn("end", F.col("start") + F.col("n"))
+    before = Window.partitionBy(*line).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    apart = F.coalesce(F.col("start") > F.max("end").over(before), F.lit(True)) | ((F.col("start") == F.max("end").over(before)) & ~F.col("joins"))
+    upto = Window.partitionBy(*line).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("apart", apart.cast("int")).withColumn("path", F.sum("apart").over(upto))
+    rows = rows.groupBy(*line, "path").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return rows.select("key", "tie", "start", (F.col("end") - F.col("start")).alias("n"), "skey", "stie", (F.col("start") - F.col("diagonal")).cast("int").alias("sstart"))
+
+
+def _digest(words: list[bytes]) -> tuple[int, int]:
+    """128 bits of the words, divided by a space, as two signed numbers."""
+    v = xxhash.xxh3_128_intdigest(b" ".join(words))
+    return (v >> 64) - (1 << 63), (v & (1 << 64) - 1) - (1 << 63)
+
 
-    single = _packed(docs).select("key", "tie", "packed").join(sources, ["key", "tie"]).select("key", "packed", "paths")
-    single = written(single.mapInArrow(edges, "mh long, w long, r1 long, n int, key long, at array<int>"), "substring-edges")
-    first = single.groupBy("mh", "w").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low < high").select("mh", "w", "low")
-    later = single.join(first, ["mh", "w"]).filter("low < key").groupBy(*path).agg(F.flatten(F.collect_list("at")).alias("at"))
+def _source_digests(docs: DataFrame, spans: DataFrame, k: int) -> DataFrame:
+    """skey, stie, sstart, n, d1, d2: the digests of distinct spans of n edges, from the words at their coordinates."""
 
-    known = runs.join(paths.select(*path, F.col("key").alias("source")), path)
-    again = known.filter("source < key").select("key", "tie", "start", "n")
-    parts = known.filter("source = key").join(later, path).select("key", "tie", "start", F.explode("at").alias("at"))
-    return again.unionByName(parts.select("key", "tie", (F.col("start") + F.col("at")).cast("int").alias("start"), F.lit(1).alias("n")))
+    def run(batches):
+        unpack = zstandard.ZstdDecompressor()
+        for b in batches:
+            out: list[list] = [[] for _ in range(6)]
+            for key, tie, packed, own in zip(*(b.column(i).to_pylist() for i in range(4))):
+                words = unpack.decompress(packed).split()
+                for x in own:
+                    for c, v in zip(out, (key, tie, x["sstart"], x["n"], *_digest(words[x["sstart"] : x["sstart"] + x["n"] + k - 1]))):
+                        c.append(v)
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], ["skey", "stie", "sstart", "n", "d1", "d2"])
+
+    distinct = spans.select(F.col("skey").alias("key"), F.col("stie").alias("tie"), "sstart", "n").distinct()
+    lists = written(distinct.groupBy("key", "tie").agg(F.collect_list(F.struct("sstart", "n")).alias("own")), "substring-spans")
+    rows = _packed(docs, lists.select("key", "tie")).dropDuplicates(["key", "tie"]).join(lists, ["key", "tie"]).select("key", "tie", "packed", "own")
+    return rows.mapInArrow(run, "skey long, stie long, sstart int, n int, d1 long, d2 long")
+
+
+def repeated(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
+    """key, tie, start, n, d1, d2: paths of n edges that also stand in a document with a smaller id, and the digests of the words there."""
+    path = ["mh", "r1", "n"]
+    all_runs = written(paths_of(docs, k, m), "substring-runs")
+    shared = all_runs.groupBy("mh").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo < hi").select("mh")
+    runs = written(all_runs.join(shared, "mh", "left_semi"), "substring-shared")
+    discard(all_runs)
+    paths = runs.groupBy(*path).agg(F.min(F.struct("key", "tie", "start")).alias("first"), F.max("key").alias("last"), F.min("head").alias("head"), F.min("tail").alias("tail"))
+    paths = written(paths.select(*path, "first.*", "last", "head", "tail"), "substring-distinct")
+
+    branching = written(paths.groupBy("mh").count().filter("count > 1").select("mh"), "substring-branching")
+    sources = paths.join(branching, "mh", "left_semi").select("key", "tie", "start", "n", "mh", "r1")
+    single = written(_single_edges(docs, sources, k), "substring-edges")
+    edges = single.groupBy("mh", "w").agg(F.min(F.struct("key", "tie", "first")).alias("low"), F.max("key").alias("high"), F.min("head").alias("head"), F.min("tail").alias("tail"))
+    edges = written(edges.filter("low.key < high").select("mh", "w", F.col("low.key").alias("skey"), F.col("low.tie").alias("stie"), F.col("low.first").alias("sfirst"), "head", "tail"), "substring-repeated")
+
+    # the graph of what repeats: whole paths where a minimizer has one, else single edges; a path that stands in
+    # later documents as a whole is walked from end to end
+    again = paths.filter("key < last").select(*path, "head", "tail", F.col("key").alias("skey"), F.col("tie").alias("stie"), F.col("start").alias("sstart"))
+    whole = again.join(branching, "mh", "left_anti")
+    plain = written(unbranched(whole.select("head", "tail").unionByName(edges.select("head", "tail"))), "substring-nodes")
+    flagged = lambda units: units.join(plain.select(F.col("node").alias("head"), F.lit(True).alias("joins")), "head", "left").withColumn("joins", F.coalesce("joins", F.lit(False)))
+
+    known = runs.select("key", "tie", "start", *path)
+    place = ["key", "tie", "start", "n", "skey", "stie", "sstart", "joins"]
+    later = known.join(flagged(again).drop("head", "tail"), path).filter("skey < key").select(*place)
+    # edges that stand before the first document of their path
+    parts = single.select("mh", "w", *path[1:], "key", "at").join(flagged(edges).drop("head", "tail"), ["mh", "w"]).filter("skey < key")
+    parts = parts.groupBy(*path, "key").agg(F.collect_list(F.struct("at", "skey", "stie", F.col("sfirst").alias("sstart"), "joins")).alias("edges"))
+    parts = known.join(parts, [*path, "key"]).select("key", "tie", "start", F.explode("edges").alias("e")).select("key", "tie", "start", F.explode("e.at").alias("at"), "e.skey", "e.stie", "e.sstart", "e.joins")
+    parts = parts.select("key", "tie", (F.col("start") + F.col("at")).alias("start"), F.lit(1).alias("n"), "skey", "stie", "sstart", "joins")
+    spans = written(compacted(later.unionByName(parts)), "substring-paths")
+    return spans.join(_source_digests(docs, spans, k), ["skey", "stie", "sstart", "n"]).select("key", "tie", "start", "n", "d1", "d2")
 
 
 def dedup(docs: DataFrame, k: int = K, m: int = M, with_text: bool = True) -> DataFrame:
@@ -141,9 +217,10 @@ def dedup(docs: DataFrame, k: int = K, m: int = M, with_text: bool = True) -> Da
     doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one
     space), removed (spans of words, merged, end exclusive) and, if asked for, kept text.
     Null text has no words; rows of one id don't count as earlier than each other;
-    null ids count as the latest; texts of fewer than k words stay whole.
+    null ids count as the latest; texts of fewer than k words stay whole; an empty
+    table gives no rows; other columns are not read; a text of any length is taken whole.
     """
-    spans = repeated(docs, k, m).groupBy("key", "tie").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    spans = repeated(docs, k, m).groupBy("key", "tie").agg(F.collect_list(F.struct("start", "n", "d1", "d2")).alias("spans"))
 
     def run(batches):
         unpack = zstandard.ZstdDecompressor()
@@ -155,8 +232,10 @@ def dedup(docs: DataFrame, k: int = K, m: int = M, with_text: bool = True) -> Da
                 if found:
                     cover = np.zeros(len(words) + 1, np.int64)
                     for s in found:
-                        cover[s["start"]] += 1
-                        cover[s["start"] + s["n"] + k - 1] -= 1
+                        end = s["start"] + s["n"] + k - 1
+                        if _digest(words[s["start"] : end]) == (s["d1"], s["d2"]):
+                            cover[s["start"]] += 1
+                            cover[end] -= 1
                     gone = np.cumsum(cover[:-1]) > 0
                     edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
                     merged = edge.reshape(-1, 2).tolist()

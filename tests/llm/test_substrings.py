@@ -1,7 +1,9 @@
 import hashlib
 import random
 
-from seedloom.llm.substrings import dedup
+import xxhash
+
+from seedloom.llm.substrings import dedup, repeated, unbranched
 
 
 def brute(rows, k):
@@ -52,3 +54,40 @@ def test_default_window_and_no_rows(spark):
     text = " ".join(f"w{i}" for i in range(120))
     check(spark, [(2, text), (1, text), (3, "a " + text[:300]), (4, " ".join(text.split()[:49]))], 50, 18)
     assert dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_compaction_stops_at_branching_nodes(spark):
+    """One long passage that others leave and enter: paths end at the nodes where they do, and are verified at their source."""
+    base = [f"b{i}" for i in range(60)]
+    rows = [(1, " ".join(base)), (2, " ".join(["x", *base, "y"])), (3, " ".join([*base[:25], "leaves"])), (4, " ".join(["enters", *base[40:]])), (5, " ".join([*base, *base])), (6, " ".join(base[10:50]))]
+    check(spark, rows, 8, 3)
+    found = repeated(spark.createDataFrame(rows, "doc_id long, text string"), 8, 3).collect()
+    assert {r.key for r in found} == {2, 3, 4, 5, 6}
+    for r in found:
+        words = next(t for k, t in rows if k == r.key).encode().split()[r.start : r.start + r.n + 7]
+        v = xxhash.xxh3_128_intdigest(b" ".join(words))
+        assert (r.d1, r.d2) == ((v >> 64) - (1 << 63), (v & (1 << 64) - 1) - (1 << 63))
+    # whole passages are a few paths, not an edge each
+    assert sum(1 for r in found if r.key == 2) <= 6
+
+
+def test_nodes_with_one_way_in_and_out(spark):
+    units = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (3, 5), (9, 3), (5, 6)], "head long, tail long")
+    assert sorted(r.node for r in unbranched(units).collect()) == [2, 5]
+
+
+def test_a_wrong_hash_removes_nothing(spark, monkeypatch):
+    """Paths that are equal by their hashes only fail at their sources' words."""
+    import seedloom.llm.substrings as substrings
+
+    text = " ".join(f"w{i}" for i in range(80))
+    df = spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")
+    real = substrings._source_digests
+    monkeypatch.setattr(substrings, "_source_digests", lambda docs, spans, k: real(docs, spans, k).selectExpr("skey", "stie", "sstart", "n", "d1 + 1 AS d1", "d2"))
+    assert {r.doc_id: r.n_removed for r in dedup(df).collect()} == {1: 0, 2: 0}
+
+
+def test_long_texts_and_many_copies(spark):
+    long = " ".join(f"w{i % 30_011}" for i in range(100_000))
+    rows = [(1, long), (2, long[:300_000]), (3, "- " * 100_000), (4, "- " * 3_000), (5, "x" * 1_000_000)] + [(100 + i, " ".join(f"c{k}" for k in range(90))) for i in range(300)]
+    check(spark, rows, 50, 18)
