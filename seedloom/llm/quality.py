@@ -136,9 +136,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most_bytes:
     return fit_texts(got[1], got[0], share)
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with a column `quality_score` in place of any of that name. Null text counts as empty."""
-    name = "quality_score"
+def scored(docs: DataFrame, model: Model, name: str = "quality_score") -> DataFrame:
+    """docs with a column of scores in place of any of that name. Null text counts as empty; a text of any length is compressed whole."""
     rest = [c for c in docs.columns if c != name]
     schema = docs.select(*rest).schema.add(name, "double")
     at = rest.index("text")
