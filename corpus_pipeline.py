@@ -14,29 +14,47 @@ from seedloom.llm import common, decontamination, jaccard, packing, quality, sec
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression classifier accepts (score of at least quality.THRESHOLD)."""
+    """Documents that the compression classifier accepts (score of at least quality.THRESHOLD).
+
+    Null and empty texts are scored as empty; repeated rows share their score; null ids are never
+    learned from; without labels every score is one half, and nothing stays; an empty table gives no rows.
+    """
     model = quality.fit(docs, common.table(spark, sf_dir, "labels"))
-    scored = quality.scored(docs, model)
-    return scored.filter(F.col("quality_score") >= quality.THRESHOLD).select(*docs.columns)
+    name = common.unused(docs, "score")
+    return quality.scored(docs, model, name).filter(F.col(name) >= quality.THRESHOLD).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word shingles, similarity of 0.8 or more."""
+    """One document of each group of near duplicates: five-word shingles, similarity of 0.8 or more; that of the smallest id, null ids last.
+
+    Rows that share an id, or have none, are judged by their texts; equal rows are one; texts without words,
+    null ones too, are no duplicates of one another; an empty table gives no rows.
+    """
     return jaccard.one_of_each(docs, words=5, percent=80)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item, as it is or with other parameters."""
+    """Documents that hold no benchmark item, as it is or with other parameters.
+
+    Null and empty texts stay; rows that share an id, or have none, are judged each by its own
+    text; with an empty benchmark all stay; an empty table gives no rows.
+    """
     return decontamination.decontaminate(docs, common.table(spark, sf_dir, "benchmark"))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets replaced by a mark; n_chars follows."""
+    """All documents, secrets replaced by a mark; n_chars follows.
+
+    Null and empty texts stay as they are, as do repeated rows and null ids; an empty table gives no rows.
+    """
     return secrets.redacted(docs, common.shared_dir(spark, "secret-ledger"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 4096 tokens."""
+    """Pieces of documents in sequences of 4096 tokens.
+
+    Null and empty texts are an end id each; repeated rows and null ids are packed each; an empty table gives no pieces.
+    """
     return packing.pack(docs)
 
 
