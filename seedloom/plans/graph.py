@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,10 @@ class CycleError(ValueError):
 
 
 def edges(schema: SchemaModel) -> list[tuple[str, str]]:
-    """(child, parent) pairs; a table's references to itself are left out."""
+    """(child, parent) pairs; a table's references to itself are left out, with a warning: its rows may refer to later ones."""
+    for t in schema.tables:
+        if any(f.parent.lower() == t.name.lower() for f in t.foreign_keys):
+            warnings.warn(f"{t.name} refers to itself; such rows are not ordered", stacklevel=2)
     return sorted({(t.name, schema.table(f.parent).name) for t in schema.tables for f in t.foreign_keys if f.parent.lower() != t.name.lower()})
 
 
@@ -59,26 +63,32 @@ def dot(schema: SchemaModel) -> str:
 
 def levels_frame(spark: SparkSession, pairs: list[tuple[str, str]], names: list[str]) -> DataFrame:
     """table_name, level by a recursive query, for schemas that are data themselves."""
-    spark.createDataFrame([(n,) for n in names], "name string").createOrReplaceTempView("graph_names")
-    spark.createDataFrame(pairs, "child string, parent string").createOrReplaceTempView("graph_edges")
-    return spark.sql("""
+    known, edges_ = spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame(pairs, "child string, parent string")
+    # frames as parameters: no view has a name that another caller could take
+    return spark.sql(
+        """
         WITH RECURSIVE walk(name, level) AS (
-            SELECT name, 0 FROM graph_names WHERE name NOT IN (SELECT child FROM graph_edges)
+            SELECT name, 0 FROM {known} WHERE name NOT IN (SELECT child FROM {edges})
             UNION ALL
-            SELECT e.child, w.level + 1 FROM walk w JOIN graph_edges e ON e.parent = w.name
+            SELECT e.child, w.level + 1 FROM walk w JOIN {edges} e ON e.parent = w.name
         )
         SELECT name AS table_name, CAST(max(level) AS INT) AS level FROM walk GROUP BY name
-    """)
+        """,
+        known=known,
+        edges=edges_,
+    )
 
 
 def root_frame(spark: SparkSession, refs: list[tuple[str, str]]) -> DataFrame:
     """column_name, root_name of reference chains (from, to), 'table.column' each."""
-    spark.createDataFrame(refs, "src string, dst string").createOrReplaceTempView("graph_refs")
-    return spark.sql("""
+    return spark.sql(
+        """
         WITH RECURSIVE walk(src, dst) AS (
-            SELECT src, dst FROM graph_refs
+            SELECT src, dst FROM {refs}
             UNION ALL
-            SELECT w.src, r.dst FROM walk w JOIN graph_refs r ON r.src = w.dst
+            SELECT w.src, r.dst FROM walk w JOIN {refs} r ON r.src = w.dst
         )
-        SELECT src AS column_name, dst AS root_name FROM walk WHERE dst NOT IN (SELECT src FROM graph_refs)
-    """)
+        SELECT src AS column_name, dst AS root_name FROM walk WHERE dst NOT IN (SELECT src FROM {refs})
+        """,
+        refs=spark.createDataFrame(refs, "src string, dst string"),
+    )

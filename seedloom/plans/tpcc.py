@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions import generators as g
 from ..functions import keys
+from . import graph
 from .engine import FillConfig, TableConfig, fill
 from .model import SchemaModel, parse_ddl
 
@@ -14,6 +18,7 @@ COUNT_SALT, PERMUTE_SALT, LOAD = 0x7C3C45219ABCDEF, 0x0C1D5EED9ABCDEF, 157
 SYLLABLES = ("BAR", "OUGHT", "ABLE", "PRI", "PRES", "ESE", "ANTI", "CALLY", "ATION", "EING")
 AS_OF = "2020-01-01 00:00:00"
 
+#: The benchmark's nine tables, as its specification names them.
 _ADDRESS = "{0}_street_1 varchar(20), {0}_street_2 varchar(20), {0}_city varchar(20), {0}_state char(2), {0}_zip char(9)"
 _DISTS = ", ".join(f"s_dist_{i:02d} char(24)" for i in range(1, 11))
 DDL = f"""
@@ -101,39 +106,68 @@ def delivery_date(threshold: int, orders: int, as_of: str = AS_OF) -> g.Gen:
     return g.Gen("delivery_date", 0, lambda d, u, n: f"CASE WHEN 1 + {n} % {orders} <= {threshold} THEN CAST('{as_of}' AS {'TIMESTAMP_NTZ' if d.name == 'spark' else 'TIMESTAMP'}) END")
 
 
-def _number(value, kind: str) -> g.Gen:
-    return g.constant(value, kind)
+def dense(columns: Sequence[str], sizes: Mapping[str, int], first: Mapping[str, int] = {}) -> dict[str, g.Gen]:
+    """Generators of a key of several columns that takes every combination once, the last column fastest."""
+    out, repeat = {}, 1
+    for name in reversed(columns):
+        size = max(1, sizes[name])
+        out[name] = g.key_component(first.get(name, 1), repeat, size)
+        repeat *= size
+    return dict(reversed(out.items()))
+
+
+def key_sizes(model: SchemaModel, sizes: Mapping[tuple[str, str], int]) -> dict[str, dict[str, int]]:
+    """Table -> key column -> how many values it takes: those of the column that its references lead to."""
+    out: dict[str, dict[str, int]] = {}
+    for t in model.tables:
+        names = t.primary_key or t.foreign_keys[0].columns
+        out[t.name] = {n: sizes[root] for n in names if (root := graph.root_key(model, t.name, n)) in sizes}
+    return out
+
+
+def _fixed(**columns: tuple[object, str]) -> dict[str, g.Gen]:
+    return {n: g.constant(value, kind) for n, (value, kind) in columns.items()}
 
 
 def build(warehouses: int, items: int = 100_000, districts: int = 10, customers: int = 3000, least: int = 5, most: int = 15, new_orders: int = 900, seed: int = 0, as_of: str = AS_OF, partitions: int | None = None) -> FillConfig:
     """Configuration of all tables; orders of a district are as many as its customers."""
     if min(warehouses, items, districts, customers) < 1 or not 0 <= new_orders <= customers:
         raise ValueError("scales are positive, and new orders at most as many as customers")
-    w, i, d, c, no = warehouses, items, districts, customers, new_orders
-    key, per_d, all_ = g.key_component, d * c, w * d * c
-    tax = g.scaled_decimal(0, 0.2, 4, 4)
-    child = {"ol_w_id": key(1, per_d, w), "ol_supply_w_id": key(1, per_d, w), "ol_d_id": key(1, c, d), "ol_o_id": key(1, 1, c)}
-    carrier = g.grouped_prefix(c, c - no, g.integer(1, 11))
+    model = schema()
+    own_axis = {("warehouse", "w_id"): warehouses, ("item", "i_id"): items, ("district", "d_id"): districts, ("customer", "c_id"): customers, ("open_order", "o_id"): customers}
+    sizes = key_sizes(model, own_axis)
+    sizes["new_order"]["no_o_id"] = new_orders  # the last ones of a district
+    rows = {t: math.prod(s.values()) for t, s in sizes.items()}
+    made = {t: dense(tuple(s), s, {"no_o_id": customers - new_orders + 1}) for t, s in sizes.items()}
+    delivered, orders_ = customers - new_orders, rows["open_order"]
 
     def orders(spark: SparkSession) -> DataFrame:
-        return keys.keyed_permutation(spark.range(0, all_, 1, partitions), "id", c, PERMUTE_SALT, "customer", 1)
+        return keys.keyed_permutation(spark.range(0, orders_, 1, partitions), "id", customers, PERMUTE_SALT, "customer", 1)
 
     def lines(spark: SparkSession) -> DataFrame:
-        return keys.lines(spark, all_, least, most, COUNT_SALT)
-
-    own = lambda column: g.Gen("source", 0, lambda dialect, u, n: column)
-    tables = {
-        "warehouse": TableConfig(w, {"w_id": key(1, 1, w), "w_zip": zip_code(), "w_tax": tax, "w_ytd": _number("300000.00", "DECIMAL(12,2)")}),
-        "item": TableConfig(i, {"i_id": key(1, 1, i), "i_data": data_column(), "i_im_id": g.integer(1, 10_001), "i_price": g.scaled_decimal(1, 100, 2, 5)}),
-        "stock": TableConfig(w * i, {"s_w_id": key(1, i, w), "s_i_id": key(1, 1, i), "s_data": data_column(), "s_quantity": g.integer(10, 101), "s_ytd": _number("0.00", "DECIMAL(8,2)"), "s_order_cnt": _number(0, "INT"), "s_remote_cnt": _number(0, "INT")}),
-        "district": TableConfig(w * d, {"d_w_id": key(1, d, w), "d_id": key(1, 1, d), "d_zip": zip_code(), "d_tax": tax, "d_ytd": _number("30000.00", "DECIMAL(12,2)"), "d_next_o_id": _number(c + 1, "INT")}),
-        "customer": TableConfig(all_, {"c_w_id": key(1, per_d, w), "c_d_id": key(1, c, d), "c_id": key(1, 1, c), "c_zip": zip_code(), "c_last": customer_last(c, min(c, 1000)), "c_credit": credit(), "c_middle": g.constant("OE"), "c_discount": g.scaled_decimal(0, 0.5, 4, 4), "c_credit_lim": _number("50000.00", "DECIMAL(12,2)"), "c_balance": _number("-10.00", "DECIMAL(12,2)"), "c_ytd_payment": _number("10.0", "FLOAT"), "c_payment_cnt": _number(1, "INT"), "c_delivery_cnt": _number(0, "INT"), "c_phone": g.string(16, False, True), "c_data": g.variable_string(300, 500, True, True)}),
-        "history": TableConfig(all_, {"h_c_w_id": key(1, per_d, w), "h_w_id": key(1, per_d, w), "h_c_d_id": key(1, c, d), "h_d_id": key(1, c, d), "h_c_id": key(1, 1, c), "h_amount": _number("10.00", "DECIMAL(6,2)"), "h_data": g.variable_string(12, 24)}),
-        "open_order": TableConfig(all_, {"o_w_id": key(1, per_d, w), "o_d_id": key(1, c, d), "o_id": key(1, 1, c), "o_c_id": own("customer"), "o_carrier_id": carrier, "o_ol_cnt": g.child_count(least, most, COUNT_SALT), "o_all_local": _number(1, "INT")}, orders),
-        "new_order": TableConfig(w * d * no, {"no_w_id": key(1, max(1, d * no), w), "no_d_id": key(1, max(1, no), d), "no_o_id": key(c - no + 1, 1, max(1, no))}),
-        "order_line": TableConfig(None, {**child, "ol_number": own("position + 1"), "ol_i_id": key(1, 1, i), "ol_quantity": _number(5, "INT"), "ol_amount": g.scaled_decimal(0.01, 9999.99, 2, 6), "ol_delivery_d": delivery_date(c - no, c, as_of)}, lines, dict.fromkeys([*child, "ol_delivery_d"], "parent")),
-    }
-    return FillConfig(seed, 1000, tables, partitions=partitions)
+        return keys.lines(spark, orders_, least, most, COUNT_SALT)
+
+    column = lambda name: g.Gen("source", 0, lambda dialect, u, n: name)
+    tax = g.scaled_decimal(0, 0.2, 4, 4)
+    money, cents = "DECIMAL(12,2)", "DECIMAL(6,2)"
+    made["warehouse"] |= {"w_zip": zip_code(), "w_tax": tax, **_fixed(w_ytd=("300000.00", money))}
+    made["item"] |= {"i_data": data_column(), "i_im_id": g.integer(1, 10_001), "i_price": g.scaled_decimal(1, 100, 2, 5)}
+    made["stock"] |= {"s_data": data_column(), "s_quantity": g.integer(10, 101), **_fixed(s_ytd=("0.00", "DECIMAL(8,2)"), s_order_cnt=(0, "INT"), s_remote_cnt=(0, "INT"))}
+    made["district"] |= {"d_zip": zip_code(), "d_tax": tax, **_fixed(d_ytd=("30000.00", money), d_next_o_id=(customers + 1, "INT"))}
+    made["customer"] |= {
+        "c_zip": zip_code(), "c_last": customer_last(customers, min(customers, 1000)), "c_credit": credit(), "c_discount": g.scaled_decimal(0, 0.5, 4, 4), "c_phone": g.string(16, False, True), "c_data": g.variable_string(300, 500, True, True),
+        **_fixed(c_middle=("OE", "STRING"), c_credit_lim=("50000.00", money), c_balance=("-10.00", money), c_ytd_payment=("10.0", "FLOAT"), c_payment_cnt=(1, "INT"), c_delivery_cnt=(0, "INT")),
+    }
+    # a payment of each customer, in the customer's district
+    made["history"] |= {f"h_{n}": made["history"][f"h_c_{n}"] for n in ("w_id", "d_id")} | {"h_data": g.variable_string(12, 24), **_fixed(h_amount=("10.00", cents))}
+    made["open_order"] |= {"o_c_id": column("customer"), "o_carrier_id": g.grouped_prefix(customers, delivered, g.integer(1, 11)), "o_ol_cnt": g.child_count(least, most, COUNT_SALT), **_fixed(o_all_local=(1, "INT"))}
+    order_key = dense(tuple(sizes["open_order"]), sizes["open_order"])
+    of_order = dict(zip(model.table("order_line").foreign_keys[0].columns, order_key.values()))
+    made["order_line"] = of_order | {"ol_supply_w_id": of_order["ol_w_id"], "ol_number": column("position + 1"), "ol_i_id": made["item"]["i_id"], "ol_amount": g.scaled_decimal(0.01, 9999.99, 2, 6), "ol_delivery_d": delivery_date(delivered, customers, as_of), **_fixed(ol_quantity=(5, "INT"))}
+    by_order = dict.fromkeys([*of_order, "ol_supply_w_id", "ol_delivery_d"], "parent")
+
+    special = {"open_order": TableConfig(orders_, made["open_order"], orders), "order_line": TableConfig(None, made["order_line"], lines, by_order)}
+    return FillConfig(seed, 1000, {t.name: special.get(t.name) or TableConfig(rows[t.name], made[t.name]) for t in model.tables}, partitions=partitions)
 
 
 def tables(spark: SparkSession, warehouses: int, **scales) -> dict[str, DataFrame]:
