@@ -11,6 +11,7 @@ distinct pre-token, not one for each document and pre-token, and no ids are made
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,8 @@ LIMIT = 1024
 BLOCK = 48_000_000
 #: More than a block has pre-tokens, and blocks that a task has at most.
 PLACES, BLOCKS = 1 << 28, 1 << 14
-#: Pre-tokens that are encoded at once.
-BATCH = 20_000
+#: Pre-tokens that are encoded at once, and rows whose numbers go back together.
+BATCH, HELD = 20_000, 1_000_000
 
 
 def _planes(numbers: np.ndarray) -> bytes:
@@ -41,7 +42,7 @@ def _from_planes(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1).astype(np.int64)
 
 
-def packed_bag(numbers: list[int], counts: list[int], pack) -> bytes:
+def packed_bag(numbers: Sequence[int], counts: Sequence[int], pack) -> bytes:
     """A bag of distinct numbers and their counts, in order of the numbers, as differences."""
     n, c = np.array(numbers, np.int64), np.array(counts, np.int64)
     order = np.argsort(n)
@@ -93,26 +94,42 @@ def blocks(docs: DataFrame, vocabulary: str = VOCABULARY, most: int = BLOCK) ->
 
 
 def piece_counts(local: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """place, n: for each row (place, piece) the number of tokens of its pre-token.
+    """block, counts: bags of pre-token numbers of a block with their numbers of tokens, from rows (place, piece).
 
     Rows meet by pre-token, in order, so each distinct one of the corpus is encoded once, and its number goes
     to all blocks that have it. A pre-token of many texts has a row for each block, however often it stands there.
     """
 
+    def packed(places: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
+        pack = zstandard.ZstdCompressor(level=1)
+        place, n = np.concatenate(places), np.concatenate(counts)
+        order = np.argsort(place)
+        place, n = place[order], n[order]
+        block, first = np.unique(place // PLACES, return_index=True)
+        bags = [packed_bag(i, c, pack) for i, c in zip(np.split(place % PLACES, first[1:]), np.split(n, first[1:]))]
+        return pa.RecordBatch.from_arrays([pa.array(block), pa.array(bags, pa.binary())], ["block", "counts"])
+
     def run(batches):
         lib = tokenizer(vocabulary_path(vocabulary))
-        last, count = None, 0
+        last, count, places, counts, held = None, 0, [], [], 0
         for b in batches:
             distinct = b.column(1).dictionary_encode()
             pieces, at = distinct.dictionary.to_pylist(), distinct.indices.to_numpy()
             new = pieces[1:] if pieces and pieces[0] == last else pieces
             known = [len(e) for k in range(0, len(new), BATCH) for e in lib.encode_batch_fast(new[k : k + BATCH], add_special_tokens=False)]
-            n = np.array([count] * (len(pieces) - len(new)) + known, np.int32)
+            n = np.array([count] * (len(pieces) - len(new)) + known, np.int64)
             if pieces:
                 last, count = pieces[-1], int(n[-1])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n[at])], ["place", "n"])
+            places.append(b.column(0).to_numpy())
+            counts.append(n[at])
+            held += b.num_rows
+            if held >= HELD:
+                yield packed(places, counts)
+                places, counts, held = [], [], 0
+        if held:
+            yield packed(places, counts)
 
-    return local.repartition("piece").sortWithinPartitions("piece").select("place", "piece").mapInArrow(run, "place long, n int")
+    return local.repartition("piece").sortWithinPartitions("piece").select("place", "piece").mapInArrow(run, "block long, counts binary")
 
 
 def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = LIMIT, block: int = BLOCK) -> DataFrame:
@@ -127,12 +144,14 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = LIM
     texts = cut.filter("bag is not null").select(F.col("block").alias("of"), "doc_id", "n_bytes", "special", "bag")
     # one number for a block and the pre-token's place in it: rows that move are few bytes
     local = cut.filter("pieces is not null").select("block", F.posexplode("pieces").alias("id", "piece")).select((F.col("block") * PLACES + F.col("id")).alias("place"), "piece")
-    known = piece_counts(local, vocabulary).select(F.expr(f"place div {PLACES}").alias("block"), (F.col("place") % PLACES).cast("int").alias("id"), "n")
+    known = piece_counts(local, vocabulary)
 
     def total(left: pa.Table, right: pa.Table) -> pa.Table:
         unpack = zstandard.ZstdDecompressor()
-        n = np.zeros(right.num_rows, np.int64)
-        n[right["id"].to_numpy()] = right["n"].to_numpy()
+        parts = [unpacked_bag(x, unpack) for x in right["counts"].to_pylist()]
+        n = np.zeros(sum(len(x) for x, _ in parts), np.int64)
+        for ids, own in parts:
+            n[ids] = own
         sums = []
         for bag, special in zip(left["bag"].to_pylist(), left["special"].to_pylist()):
             at, times = unpacked_bag(bag, unpack)
