@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
-from .mixing import draw_base, drawn, duck_draws, with_draws, with_mixed, wrapping
+from .mixing import SECOND, duck_draws, mix64, signed, with_draws, with_mixed, wrapping
 
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 DIGITS = "0123456789"
@@ -99,10 +99,10 @@ Formula = Callable[[Dialect, list[str], str], str]
 
 @dataclass(frozen=True)
 class Text:
-    """A text of `size` characters of a pool, from the draws number `first` on, that Spark makes draw by draw.
+    """A text of `size` characters of a pool, made of the draw number `first`.
 
-    An expression for each character would outgrow the limits of generated code.
-    formula(text, draws before the first, row) is the value.
+    An expression for each character would outgrow the limits of generated code: eight characters come from
+    one step over two numbers, by arithmetic on the bytes of a long. formula(text, draws, row) is the value, in either dialect.
     """
 
     pool: str
@@ -110,6 +110,47 @@ class Text:
     first: int
     formula: Callable[[str, list[str], str], str]
 
+    @property
+    def steps(self) -> int:
+        return -(-self.size // 8)
+
+    def bases(self) -> list[int]:
+        """Two numbers for each step, by which the draw is changed."""
+        return [mix64(j) for j in range(2 * self.steps)]
+
+    def spark(self, draw: str) -> str:
+        """Needs `wrapping`."""
+        n, mask = len(self.pool), 0x0000FFFF0000FFFF
+        changed = f"({draw} ^ b) * {signed(SECOND)}L"
+        numbers = lambda which: f"transform(array({', '.join(f'{b}L' for b in which)}), b -> {changed} ^ shiftrightunsigned({changed}, 29))"
+        # a quarter of a number is a place in the pool, as its share of 2**16; two quarters at once
+        half = lambda z: f"(shiftrightunsigned(({z} & {mask}L) * {n}L, 16) & {mask}L)"
+        places = lambda z: f"({half(z)} | shiftleft({half(f'shiftrightunsigned({z}, 16)')}, 8))"
+        every = 0x0101010101010101
+        # for all eight bytes: 1 where the place is `least` or more
+        beyond = lambda least: f"shiftrightunsigned((e + {every * (128 - least)}L) & {signed(every * 128)}L, 7)"
+        letter = f"e + {every * ord(self.pool[0])}L"
+        if len(self.pool) > 26:  # capital letters, small letters, digits
+            letter += f" + {beyond(26)} * {ord('a') - ord('Z') - 1}L"
+        if len(self.pool) > 52:
+            letter += f" - {beyond(52)} * {ord('z') + 1 - ord('0')}L"
+        both = self.bases()
+        packed = f"zip_with({numbers(both[::2])}, {numbers(both[1::2])}, (p, q) -> {places('p')} | shiftleft({places('q')}, 16))"
+        whole = f"CAST(unhex(array_join(transform({packed}, e -> hex({letter})), '')) AS STRING)"
+        return whole if self.size % 8 == 0 else f"substr({whole}, 1, {self.size})"
+
+    def duck(self, draw: str) -> tuple[str, Callable[[str], str]]:
+        """The list of numbers, and from its name the text: character by character."""
+        every = "18446744073709551616::UHUGEINT"
+        bases = ", ".join(f"{b & ((1 << 64) - 1)}::UBIGINT" for b in self.bases())
+        changed = f"list_transform([{bases}], lambda b: (xor({draw}::UBIGINT, b)::UHUGEINT * {SECOND}::UHUGEINT % {every})::UBIGINT)"
+        numbers = f"list_transform({changed}, lambda y: xor(y, y >> 29))"
+        # of each step the quarters of its second and first number by turns, the highest ones first
+        which = [2 * k + 1 + second for k in range(self.steps) for second in (1, 1, 0, 0, 1, 1, 0, 0)][: self.size]
+        shift = [16 * q for _ in range(self.steps) for q in (3, 2, 3, 2, 1, 0, 1, 0)][: self.size]
+        chars = lambda name: f"list_aggregate(list_transform(range(1, {self.size + 1}), lambda i: substr('{self.pool}', CAST(1 + (((({name})[{which}[i]] >> {shift}[i]::UBIGINT) & 65535::UBIGINT) * {len(self.pool)}) // 65536 AS INT), 1)), 'string_agg', '')"
+        return numbers, chars
+
 
 @dataclass(frozen=True)
 class Gen:
@@ -536,20 +577,6 @@ def any_text(size: int = 10) -> Gen:
     return Gen("any_text", size, formula, params={"size": size})
 
 
-def _with_texts(df: DataFrame, texts: Mapping[str, tuple[Text, int, str]]) -> DataFrame:
-    """df with a column for each name: the whole text of (text, seed, row expression)."""
-    if not texts:
-        return df
-    made = []
-    for name, (text, seed, row) in texts.items():
-        size, per = len(text.pool), _per(text.pool)
-        chars = ", ".join(f"substr('{text.pool}', CAST(1 + (u div {size**i}L) % {size} AS INT), 1)" for i in range(min(per, text.size)))
-        draws = drawn([draw_base(seed, text.first + j) for j in range(-(-text.size // per))], row)
-        made.append(f"substr(array_join(transform({draws}, u -> concat({chars}, '')), ''), 1, {text.size}) AS `{name}`")
-    with wrapping(df.sparkSession):
-        return df.selectExpr("*", *made)
-
-
 def with_columns(df: DataFrame, row: str, gens: Mapping[str, tuple]) -> DataFrame:
     """df with a generated column for each name: (generator, seed), or those and a row expression of its own.
 
@@ -558,12 +585,15 @@ def with_columns(df: DataFrame, row: str, gens: Mapping[str, tuple]) -> DataFram
     keep = [f"`{c}`" for c in df.columns]
     draws, mixed, texts, at = {}, {}, {}, {}
     for k, (name, (g, seed, *own)) in enumerate(gens.items()):
-        at[name] = [f"__d{k}_{j}" for j in range(g.text.first if g.text else g.draws)]
+        at[name] = [f"__d{k}_{j}" for j in range(g.text.first + 1 if g.text else g.draws)]
         draws |= {c: (seed, j, *own) for j, c in enumerate(at[name])}
         mixed |= {f"{c}{k}": f"{own[0] if own else row} + {e}L" for c, e in g.mixed.items()}
         if g.text:
-            texts[f"__t{k}"] = (g.text, seed, own[0] if own else row)
-    out = _with_texts(with_mixed(with_draws(df, row, draws), mixed), texts)
+            texts[f"__t{k}"] = g.text.spark(f"`{at[name][-1]}`")
+    out = with_mixed(with_draws(df, row, draws), mixed)
+    if texts:
+        with wrapping(df.sparkSession):
+            out = out.selectExpr("*", *(f"{sql} AS `{n}`" for n, sql in texts.items()))
     made = []
     for k, (name, (g, _, *own)) in enumerate(gens.items()):
         where = own[0] if own else row
@@ -578,21 +608,27 @@ def duck_columns(source: str, row: str, gens: Mapping[str, tuple[Gen, int]], sel
     """The SQL by which DuckDB makes the same columns."""
     from .mixing import duck_mixed
 
-    draws, mixed, at = {}, {}, {}
+    draws, mixed, at, numbers, texts = {}, {}, {}, {}, {}
     for k, (name, (g, seed)) in enumerate(gens.items()):
-        at[name] = [f"d{k}_{j}" for j in range(g.draws)]
+        at[name] = [f"d{k}_{j}" for j in range(g.text.first + 1 if g.text else g.draws)]
         draws |= {c: (seed, j) for j, c in enumerate(at[name])}
         mixed |= {f"{c}{k}": f"{row}::HUGEINT + ({e})" for c, e in g.mixed.items()}
-    chain = duck_draws(source, row, draws, "a")
+        if g.text:
+            numbers[f"n{k}"], chars = g.text.duck(at[name][-1])
+            texts[f"t{k}"] = chars(f"n{k}")
+    chain, last = duck_draws(source, row, draws, "a"), "a"
     if mixed:
-        chain += ", " + duck_mixed("a", mixed, "b")
+        chain, last = f"{chain}, {duck_mixed('a', mixed, 'b')}", "b"
+    if texts:
+        chain += f", c AS (SELECT *, {', '.join(f'{e} AS {n}' for n, e in numbers.items())} FROM {last}), d AS (SELECT *, {', '.join(f'{e} AS {n}' for n, e in texts.items())} FROM c)"
+        last = "d"
     made = []
     for k, (name, (g, _)) in enumerate(gens.items()):
-        sql = g.sql(DUCK, at[name], row)
+        sql = g.text.formula(f"t{k}", at[name], row) if g.text else g.sql(DUCK, at[name], row)
         for c in g.mixed:
             sql = sql.replace(c, f"{c}{k}")
         made.append(f"{sql} AS {name}")
-    return f"WITH {chain} SELECT {select}, {', '.join(made)} FROM {'b' if mixed else 'a'}"
+    return f"WITH {chain} SELECT {select}, {', '.join(made)} FROM {last}"
 
 
 #: Kinds that a descriptor carries whole: kind -> factory of its parameters.

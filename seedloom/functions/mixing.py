@@ -69,14 +69,6 @@ def with_draws(df: DataFrame, row: str, seeds: dict[str, tuple]) -> DataFrame:
     return out.selectExpr(*keep, *(f"shiftrightunsigned(`{n}`, 1) AS `{n}`" for n in seeds)) if seeds else df
 
 
-def drawn(bases: list[int], row: str) -> str:
-    """An array of the non-negative draws of a row for each base: an expression of one size for any number of them; needs `wrapping`."""
-    z = f"transform(array({', '.join(f'{signed(b + GAMMA)}L' for b in bases)}), z -> z + ({row}))"
-    for shift, factor in ((30, FIRST), (27, SECOND)):
-        z = f"transform({z}, z -> (z ^ shiftrightunsigned(z, {shift})) * {signed(factor)}L)"
-    return f"transform({z}, z -> shiftrightunsigned(z ^ shiftrightunsigned(z, 31), 1))"
-
-
 # --- the same for DuckDB, in arithmetic of 128 bits ---
 
 
