@@ -153,8 +153,8 @@ def parse_ddl(text: str) -> SchemaModel:
                 t["fks"].append((_names(f[1]), _bare(f[2]), _names(f[3]) if f[3] else ()))
             elif low.startswith("check"):
                 _add_check(t, rest, parse_check)
-            elif re.match(r"(unique|index|key|exclude|inverted|fulltext)\b", low):
-                continue
+            elif (m_ := re.match(r"(?:unique|index|key|exclude|inverted|fulltext)\b\s*([\w\"`]*)", low)) and not (_bare(m_[1]) in ALIASES or _bare(m_[1]) in enums):
+                continue  # an index; a column may have such a name, but then a type follows
             else:
                 _add_column(t, item, enums, parse_check)
     for m in re.finditer(r"alter\s+table\s+(?:only\s+)?([\w.\"`]+)\s+add\s+(?:constraint\s+\S+\s+)?foreign\s+key\s*\((.*?)\)\s*references\s+([\w.\"`]+)\s*(?:\((.*?)\))?", text, re.I | re.S):

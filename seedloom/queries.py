@@ -12,8 +12,12 @@ from .functions import keys, semantic
 from .functions.generators import duck_columns, with_columns
 from .functions.mixing import FIRST, GAMMA, SECOND, duck_draws, duck_mixed
 from .operators import catalog, verify
-from .plans import constraints, graph, tpcc
-from .plans.model import ColumnConstraint
+from .functions.seeds import column_seed
+from .plans import constraints, dialects, graph, tpcc
+from .plans.engine import FillConfig, TableConfig, fill
+from .plans.model import ColumnConstraint, ColumnModel, parse_ddl
+from .plans.registry import Registry, resolve
+from .sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -49,6 +53,7 @@ _GENERATORS: dict[str, tuple[dict[str, g.Gen], dict[str, tuple[str, str]]]] = {
     "temporal": ({"ts": g.timestamp(), "moment": g.instant(), "day": g.date(), "clock": g.time(), "fixed": g.fixed_timestamp("2020-01-01 00:00:00")}, {}),
     "skewed_timestamps": ({"ts": g.skewed_timestamp()}, {}),
     "constants_and_sequences": ({"zero": g.constant(0, "INT"), "word": g.constant("it's"), "seq": g.sequential(10, 16), "axis": g.key_component(1, 7, 5), "cnt": g.child_count(1, 7, 42), "prefix": g.grouped_prefix(10, 4, g.integer(1, 11))}, {}),
+    "constrained": ({"status": constraints.generator(ColumnModel("s", "VARCHAR", 9), ColumnConstraint(values=("new", "it's, old"))), "rating": constraints.generator(ColumnModel("r", "INTEGER"), ColumnConstraint(least=0.5, most=5, most_inclusive=False)), "price": constraints.generator(ColumnModel("p", "DECIMAL", 8, 2), ColumnConstraint(least=1, least_inclusive=False, most=2.5))}, {"price": ("CAST(price AS DOUBLE) AS price",) * 2}),
     "weighted_pick": ({"status": g.weighted({"new": 5, "open": 3, "done": 1.5}), "level": g.weighted({1: 1, 2: 1, 30: 2}, "INT")}, {}),
     "normals": ({"d": g.normal(50.0, 12.0, 0.0, 100.0), "i": g.normal_integer(0, 3, -5, 5)}, {}),
     "zipf_pick": ({"k": g.zipf(1, 50, 1.1), "wide": g.zipf(0, 500, 0.8)}, {}),
@@ -385,6 +390,102 @@ def check_parsing(spark, sf_dir):
     return spark.createDataFrame(rows, "n int, allowed string, lo double, hi double, lo_in boolean, hi_in boolean")
 
 
+# --- declared schemas and how columns get their generators ---
+
+_DDL = """
+CREATE TYPE mood AS ENUM ('calm', 'it''s fine');
+CREATE TABLE area (no int, code char(3), title varchar(40) NOT NULL, PRIMARY KEY (code, no));
+CREATE TABLE person (id bigserial PRIMARY KEY, work_email varchar(60), feeling mood, score int CHECK (score > 0 AND score <= 9), price numeric(9,3) CHECK (price BETWEEN 1 AND 2.5), key uuid, tags text[], a_no int, a_code char(3),
+  FOREIGN KEY (a_code, a_no) REFERENCES area (code, no));
+"""
+_SCHEMA = parse_ddl(_DDL)
+
+
+@_query(
+    "SELECT * FROM (VALUES ('area', 'no', 'INTEGER', NULL, 1, true, false, 2), ('area', 'code', 'CHAR', 3, 2, true, false, 1), ('area', 'title', 'VARCHAR', 40, 3, false, false, NULL), "
+    "('person', 'id', 'BIGINT', NULL, 1, false, true, 1), ('person', 'work_email', 'VARCHAR', 60, 2, true, false, NULL), ('person', 'feeling', 'VARCHAR', NULL, 3, true, false, NULL), ('person', 'score', 'INTEGER', NULL, 4, true, false, NULL), "
+    "('person', 'price', 'NUMERIC', 9, 5, true, false, NULL), ('person', 'key', 'OTHER', NULL, 6, true, false, NULL), ('person', 'tags', 'ARRAY', NULL, 7, true, false, NULL), ('person', 'a_no', 'INTEGER', NULL, 8, true, false, NULL), ('person', 'a_code', 'CHAR', 3, 9, true, false, NULL)) "
+    "t(table_name, column_name, type_name, size, ordinal, nullable, identity, key_place)"
+)
+def declared_columns(spark, sf_dir):
+    rows = [(t.name, c.name, c.type_name, c.size, c.ordinal, c.nullable, c.identity, t.primary_key.index(c.name) + 1 if c.name in t.primary_key else None) for t in _SCHEMA.tables for c in t.columns]
+    return spark.createDataFrame(rows, "table_name string, column_name string, type_name string, size int, ordinal int, nullable boolean, identity boolean, key_place int")
+
+
+@_query("SELECT * FROM (VALUES ('person', 1, 'a_code', 'area', 'code'), ('person', 2, 'a_no', 'area', 'no')) t(table_name, place, column_name, parent, parent_column)")
+def declared_keys(spark, sf_dir):
+    rows = [(t.name, i + 1, c, f.parent, p) for t in _SCHEMA.tables for f in t.foreign_keys for i, (c, p) in enumerate(zip(f.columns, f.parent_columns))]
+    return spark.createDataFrame(rows, "table_name string, place int, column_name string, parent string, parent_column string")
+
+
+@_query(
+    "SELECT * FROM (VALUES ('id', 'column', 'sequential'), ('work_email', 'name rule', 'semantic'), ('feeling', 'constraint', 'weighted'), ('score', 'constraint', 'integer'), ('price', 'constraint', 'ranged_decimal'), ('key', 'type name rule', 'string'), "
+    "('tags', 'default', 'string_array'), ('a_no', 'type rule', 'constant'), ('a_code', 'default', 'string')) t(column_name, source, kind)"
+)
+def resolved_generators(spark, sf_dir):
+    """Configuration before rules by name, type name and type, before constraints, before the dialect's default."""
+    registry = Registry().add(semantic.plugin).by_type_name("uuid", lambda c: g.string(36)).by_type("INTEGER", lambda c: g.constant(0, "INT"))
+    t = _SCHEMA.table("person")
+    rows = []
+    for c in t.columns:
+        own = Registry(registry.patterns, registry.type_names, {} if c.name == "score" else registry.types)
+        found = resolve(c, {"ID": g.sequential()}, own, t.constraints.get(c.name), "postgres")
+        rows.append((c.name, found.source, found.gen.kind))
+    return spark.createDataFrame(rows, "column_name string, source string, kind string")
+
+
+_PRODUCTS = {"PostgreSQL 18": "postgres", "CockroachDB (PostgreSQL wire)": "cockroach", "MariaDB, a MySQL": "mariadb", "MySQL 9": "mysql", "SQLite": "sqlite", "H2": "h2", "Other": "default"}
+
+
+@_query("SELECT * FROM (VALUES {}) t(product, dialect)".format(", ".join(f"('{p}', '{d}')" for p, d in _PRODUCTS.items())))
+def detected_dialects(spark, sf_dir):
+    return spark.createDataFrame([(p, dialects.detect(p)) for p in _PRODUCTS], "product string, dialect string")
+
+
+_COLUMNS = [(t.name, c.name, c.type_name, c.ordinal) for t in tpcc.schema().tables for c in t.columns]
+_CHARS = "list_reduce(list_prepend(0::HUGEINT, list_transform(string_split({}, ''), lambda c: ascii(c)::HUGEINT)), lambda a, b: (a * 31 + b) % 4294967296)"
+_SIGNED = "(CASE WHEN {0} % 4294967296 >= 2147483648 THEN {0} % 4294967296 - 4294967296 ELSE {0} % 4294967296 END)"
+
+
+# 31-fold sums over name, table, no schema, no catalog, type and number, in 32 bits; then 1,000,003 times the base seed more
+@_query(
+    f"SELECT t, c, CAST(7 * 1000003 + {_SIGNED.format('h')} AS BIGINT) AS seed FROM (SELECT t, c, (((((((31 + n) * 31 + m) * 31) * 31) * 31 + k) * 31 + o) % 4294967296 + 4294967296) % 4294967296 AS h FROM ("
+    f"SELECT t, c, {_SIGNED.format(_CHARS.format('c'))} AS n, {_SIGNED.format(_CHARS.format('t'))} AS m, {_SIGNED.format(_CHARS.format('kind'))} AS k, o::HUGEINT AS o FROM (VALUES {', '.join(map(str, _COLUMNS))}) v(t, c, kind, o)))"
+)
+def column_seeds(spark, sf_dir):
+    return spark.createDataFrame([(t, c, column_seed(7, c, t, None, None, kind, o)) for t, c, kind, o in _COLUMNS], "t string, c string, seed long")
+
+
+@_query("SELECT * FROM (VALUES {}) t(line)".format(", ".join([f"('  \"{n}\";')" for n in _NAMES] + [f"('  \"{c}\" -> \"{p}\";')" for c, p in _EDGES] + ["('digraph schema {')", "('}')"])))
+def dot_lines(spark, sf_dir):
+    return spark.createDataFrame([(x,) for x in graph.dot(tpcc.schema()).splitlines()], "line string")
+
+
+@_query(f"WITH e(child, parent) AS (VALUES {_VALUES}) SELECT child, parent, CAST(true AS BOOLEAN) AS parent_first FROM e")
+def table_order(spark, sf_dir):
+    """Whether the order has each parent before its child."""
+    at = {n: i for i, n in enumerate(graph.order(tpcc.schema()))}
+    return spark.createDataFrame([(c, p, at[p] < at[c]) for c, p in _EDGES], "child string, parent string, parent_first boolean")
+
+
+_PRINTED = {"a": (g.integer_array(3), 5), "raw": (g.binary(4), 6), "n": (g.integer(-5, 5), 7)}
+
+
+@_query(
+    f"SELECT o_orderkey, '{{' || array_to_string(a, ',') || '}}' AS a, '[' || array_to_string(list_transform(range(4), lambda i: (('0x' || substr(hex(raw), 2 * i + 1, 2))::INT + 128) % 256 - 128), ', ') || ']' AS raw, n FROM ({duck_columns('orders', 'o_orderkey', _PRINTED, 'o_orderkey')})"
+)
+def rendered_rows(spark, sf_dir):
+    return files.rendered(with_columns(read(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", _PRINTED))
+
+
+@_query(f"SELECT CAST(child AS INT) AS child, area, num FROM (SELECT range AS child, 1 + range % 12 // 4 AS area, 1 + range % 12 % 4 AS num FROM range(100))".replace("area, num FROM", "CAST(area AS INT) AS area, CAST(num AS INT) AS num FROM"))
+def aligned_composite_keys(spark, sf_dir):
+    """A child's key of two columns is its parent's at the row index modulo the parent's rows."""
+    ddl = "CREATE TABLE p (area int, num int, PRIMARY KEY (area, num)); CREATE TABLE c (child int, area int, num int, PRIMARY KEY (child), FOREIGN KEY (area, num) REFERENCES p (area, num));"
+    config = FillConfig(1, 100, {"p": TableConfig(12, tpcc.dense(("area", "num"), {"area": 3, "num": 4})), "c": TableConfig(100, {"child": g.sequential(0, 1000)})})
+    return fill(spark, parse_ddl(ddl), config)["c"]
+
+
 # --- realistic values and the preset ---
 
 _PEOPLE = duck_columns("customer", "c_custkey", semantic.person_gens(11), "c_custkey")

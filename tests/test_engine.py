@@ -177,3 +177,11 @@ def test_distributions(spark):
     assert len(share) == 52 and share.max() < 0.025 and share.min() > 0.014
     every = "".join(rows.long[:500])
     assert set(map(len, rows.long)) == {300} and len(set(every)) == 62 and max(every.count(c) for c in set(every)) < 1.15 * len(every) / 62
+
+
+def test_the_clock_is_the_clock(spark):
+    from datetime import datetime, timezone
+
+    before = datetime.now(timezone.utc).replace(tzinfo=None, microsecond=0)
+    found = g.with_columns(spark.range(5), "id", {"now": (g.current_timestamp(), 1)}).selectExpr("CAST(to_utc_timestamp(now, current_timezone()) AS TIMESTAMP_NTZ) AS now").collect()
+    assert len({r.now for r in found}) == 1 and before <= found[0].now <= datetime.now(timezone.utc).replace(tzinfo=None)
