@@ -42,7 +42,7 @@ CHUNK, FEWEST = 1_000_000, 100
 #: Shingles of the pieces of work that are put together in a task.
 TASK = 4_000_000
 #: Shingles of one edge of the tree; bytes that a step of the walk takes.
-EDGE, STEP = 16, 32_000_000
+EDGE, STEP = 32, 32_000_000
 #: Ids up to which a table is broadcast, 16 bytes each.
 MOST_BROADCAST = 500_000
 
@@ -126,14 +126,14 @@ def least_overlap(a, b, percent: int = PERCENT):
 
 
 class Trie:
-    """A prefix tree of ordered sets: an edge holds up to EDGE shingles, sets with equal beginnings share its nodes.
+    """A prefix tree of ordered sets: an edge holds several shingles, sets with equal beginnings share its nodes.
 
-    A level has, for each node, its edge's tokens (the number after the last one stands for
-    none), its parent's place, the sizes of the smallest and longest set below, and
-    the places and nodes of the sets that end there.
+    Edges from the root hold as many as a set may lack in one that it links with, and one more; others EDGE. So what links with a
+    set has a shingle of the first edge on its way. A level has, for each node, its edge's tokens (the number after the last one stands for
+    none), its parent's place, the sizes of the smallest and longest set below, and the places and nodes of the sets that end there.
     """
 
-    def __init__(self, sets: list[np.ndarray], known: tuple[np.ndarray, np.ndarray] = (np.zeros(0, U), np.zeros(0, np.int64))):
+    def __init__(self, sets: list[np.ndarray], known: tuple[np.ndarray, np.ndarray] = (np.zeros(0, U), np.zeros(0, np.int64)), percent: int = PERCENT):
         self.sizes = np.array([len(x) for x in sets])
         cuts = np.concatenate([[0], np.cumsum(self.sizes)])
         self.tokens, where = np.unique(np.concatenate(sets), return_inverse=True)
@@ -145,20 +145,26 @@ class Trie:
         flat = rank[where][np.lexsort((rank[where], which))]
         self.levels = []
         node = np.zeros(len(sets), np.int64)  # of each set, in the level before
-        for begin in range(0, int(self.sizes.max()), EDGE):
-            own = np.flatnonzero(self.sizes > begin)
-            at = cuts[own][:, None] + begin + np.arange(EDGE)
-            inside = begin + np.arange(EDGE) < self.sizes[own][:, None]
+        begin, width = 0, max(EDGE, int((self.sizes - -(-percent * self.sizes // 100)).max()) + 1)
+        while (own := np.flatnonzero(self.sizes > begin)).size:
+            at = cuts[own][:, None] + begin + np.arange(width)
+            inside = begin + np.arange(width) < self.sizes[own][:, None]
             block = np.where(inside, flat[np.minimum(at, len(flat) - 1)], none)
             rows, place = np.unique(np.column_stack([node[own], block]), axis=0, return_inverse=True)
             place = place.reshape(-1)
             small, long_ = np.full(len(rows), np.iinfo(np.int64).max), np.zeros(len(rows), np.int64)
             np.minimum.at(small, place, self.sizes[own])
             np.maximum.at(long_, place, self.sizes[own])
-            ends = self.sizes[own] <= begin + EDGE
-            self.levels.append((rows[:, 0], rows[:, 1:], small, long_, own[ends], place[ends]))
+            begin += width
+            ends = self.sizes[own] <= begin
+            self.levels.append((begin, rows[:, 0], rows[:, 1:], small, long_, own[ends], place[ends]))
             node[own] = place
-        self.widest = max(len(x[0]) for x in self.levels)
+            width = EDGE
+        # the nodes below the root by token
+        first = self.levels[0][2]
+        nodes, slots = np.nonzero(first != none)
+        order = np.argsort(first[nodes, slots], kind="stable")
+        self.posted, self.posts = first[nodes, slots][order], nodes[order]
 
     def linked(self, own: np.ndarray, percent: int) -> np.ndarray:
         """Places of the stored sets that link with one set."""
@@ -166,41 +172,74 @@ class Trie:
 
     def links(self, asking: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
         """Places of asking and of stored sets that link, pair by pair."""
-        each = max(1, STEP // max(self.widest * EDGE, len(self.tokens) + 1))
+        each = max(1, STEP // (len(self.tokens) + 1))
         found = [self._walked(asking[k : k + each], percent, k) for k in range(0, len(asking), each)]
         return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
     def _walked(self, asking: list[np.ndarray], percent: int, first: int) -> tuple[np.ndarray, np.ndarray]:
         mark = np.zeros((len(asking), len(self.tokens) + 1), np.uint8)
+        below = len(self.levels[0][1])
+        pairs = []
         for k, own in enumerate(asking):
             at = np.minimum(np.searchsorted(self.tokens, own), len(self.tokens) - 1)
-            mark[k, self.at_rank[at[self.tokens[at] == own]]] = 1
-        n = np.array([len(x) for x in asking])[:, None]
-        alive, shared = np.ones((len(asking), 1), bool), np.zeros((len(asking), 1), np.int64)
-        nodes = np.zeros(1, np.int64)  # those of the level before that are still walked
+            ranks = self.at_rank[at[self.tokens[at] == own]]
+            mark[k, ranks] = 1
+            pairs.append(k * below + self.posts[_ranged(np.searchsorted(self.posted, ranks), np.searchsorted(self.posted, ranks, "right"))])
+        met, shared = np.unique(np.concatenate(pairs), return_counts=True)
+        q, node = met // below, met % below
+        sizes = np.array([len(x) for x in asking])
         out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
-        for k, (parent, block, small, long_, ended, of) in enumerate(self.levels):
-            up = np.minimum(np.searchsorted(nodes, parent), len(nodes) - 1)
-            kept = np.flatnonzero(nodes[up] == parent)
-            up = up[kept]
-            got = shared[:, up] + mark[:, block[kept].ravel()].reshape(len(asking), len(kept), EDGE).sum(2, dtype=np.uint8)
-            low, high = small[kept], long_[kept]
-            most = got + np.minimum(n - got, np.maximum(high - (k + 1) * EDGE, 0))
-            ok = alive[:, up] & (most >= least_overlap(n, low, percent)) & (100 * high >= percent * n) & (100 * n >= percent * low)
-            if len(ended):
-                at = np.minimum(np.searchsorted(kept, of), max(len(kept) - 1, 0))
-                here = np.flatnonzero(kept[at] == of) if len(kept) else np.zeros(0, np.int64)
-                at, sets = at[here], ended[here]
-                q, x = np.nonzero(ok[:, at] & (100 * got[:, at] >= percent * (n + self.sizes[sets] - got[:, at])))
-                out[0].append(q + first)
-                out[1].append(sets[x])
-            still = ok.any(0)
-            if not still.any():
+        for k, (end, parent, block, small, long_, ended, of) in enumerate(self.levels):
+            if k:
+                # each pair goes on to the node's children; nodes lie in the order of their parents
+                low, high = np.searchsorted(parent, node), np.searchsorted(parent, node, "right")
+                up, node = np.repeat(np.arange(len(node)), high - low), _ranged(low, high)
+                q, shared = q[up], shared[up]
+                shared += _held(mark, q, node, block)
+            n, low, high = sizes[q], small[node], long_[node]
+            most = shared + np.minimum(n - shared, np.maximum(high - end, 0))
+            ok = (most >= least_overlap(n, low, percent)) & (100 * high >= percent * n) & (100 * n >= percent * low)
+            q, node, shared = q[ok], node[ok], shared[ok]
+            if not len(q):
                 break
-            nodes, alive, shared = kept[still], ok[:, still], got[:, still]
+            if len(ended):
+                by = np.argsort(of, kind="stable")
+                low, high = np.searchsorted(of[by], node), np.searchsorted(of[by], node, "right")
+                up, sets = np.repeat(np.arange(len(node)), high - low), ended[by][_ranged(low, high)]
+                good = 100 * shared[up] >= percent * (sizes[q[up]] + self.sizes[sets] - shared[up])
+                out[0].append(q[up][good] + first)
+                out[1].append(sets[good])
         return np.concatenate(out[0]), np.concatenate(out[1])
 
 
+def _held(mark: np.ndarray, q: np.ndarray, node: np.ndarray, block: np.ndarray) -> np.ndarray:
+    """For each pair of an asking set and a node the edge's tokens that the set has; q is in order."""
+    out = np.zeros(len(q), np.int64)
+    if not len(q):
+        return out
+    asks, nodes = np.unique(q), np.unique(node)
+    if 4 * len(q) < len(asks) * len(nodes):
+        for i in range(0, len(q), STEP // EDGE):
+            out[i : i + STEP // EDGE] = mark[q[i : i + STEP // EDGE, None], block[node[i : i + STEP // EDGE]]].sum(1)
+        return out
+    # most pairs are there: whole rows at once
+    at, tokens = np.searchsorted(nodes, node), block[nodes].ravel()
+    each = max(1, STEP // len(tokens))
+    for i in range(0, len(asks), each):
+        some = asks[i : i + each]
+        low, high = np.searchsorted(q, [some[0], some[-1] + 1])
+        rows = mark[some[0] : some[-1] + 1] if some[-1] - some[0] + 1 == len(some) else mark[some]
+        held = np.take(rows, tokens, axis=1).reshape(len(some), len(nodes), -1).sum(2, dtype=np.uint8)
+        out[low:high] = held[np.searchsorted(some, q[low:high]), at[low:high]]
+    return out
+
+
+def _ranged(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The numbers from each of low to below its high, one range after another."""
+    n = high - low
+    return np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]) if len(n) else low, n) + np.arange(int(n.sum()))
+
+
 def stars(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """For each of n nodes the least node of its component under the edges (a, b)."""
     root = np.arange(n)
@@ -229,7 +268,7 @@ def joined(rows: pa.Table, known: tuple[np.ndarray, np.ndarray], percent: int =
         if not len(stored) or not len(asks) or (len(own) == 1):
             continue
         sets = {x: np.frombuffer(blobs[x].as_buffer(), U) for x in own.tolist()}
-        q, x = Trie([sets[k] for k in stored.tolist()], known).links([sets[k] for k in asks.tolist()], percent)
+        q, x = Trie([sets[k] for k in stored.tolist()], known, percent).links([sets[k] for k in asks.tolist()], percent)
         q, x = asks[q], stored[x]
         q, x = q[ids[q] != ids[x]], x[ids[q] != ids[x]]
         n = np.bincount(q, copies[x], len(ids)).astype(np.int64)

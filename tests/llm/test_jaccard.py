@@ -119,9 +119,13 @@ def test_a_tree_of_unlike_sets_is_left_early():
     """Time for sets that share nothing grows far slower than their pairs."""
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 1 << 60, 100, dtype=np.uint64)) for _ in range(8000)]
-    start = time.perf_counter()
-    q, x = Trie(sets).links(sets, 85)
-    assert (q == x).all() and len(q) == len(sets) and time.perf_counter() - start < 15
+    seconds = []
+    for some in (sets[:1000], sets):
+        start = time.perf_counter()
+        q, x = Trie(some).links(some, 85)
+        seconds.append(time.perf_counter() - start)
+        assert (q == x).all() and len(q) == len(some)
+    assert seconds[1] < 40 * max(0.05, seconds[0])
 
 
 def test_trie_finds_all():
