@@ -572,7 +572,8 @@ def any_text(size: int = 10) -> Gen:
             place = f"len(list_filter([{starts}], lambda c: c <= {at}))"
             return f"list_aggregate(list_transform([{', '.join(u)}], lambda x: chr({at} + ([{firsts}])[{place} + 1])), 'string_agg', '')"
         spot = f"aggregate(array({steps}), 0, (p, s) -> CASE WHEN coalesce(get(array({starts}), p + s - 1) <= {at}, false) THEN p + s ELSE p END)"
-        return f"decode(unhex(array_join(transform(array({', '.join(u)}), x -> lpad(hex({at} + get(array({firsts}), {spot})), 8, '0')), '')), 'UTF-32')"
+        # the decoder takes a first U+FEFF for a byte order mark: one goes before the text's own characters
+        return f"decode(unhex(concat('0000FEFF', array_join(transform(array({', '.join(u)}), x -> lpad(hex({at} + get(array({firsts}), {spot})), 8, '0')), ''))), 'UTF-32')"
 
     return Gen("any_text", size, formula, params={"size": size})
 

@@ -1,5 +1,6 @@
 """Schemas, filling, files and streams."""
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -116,6 +117,14 @@ def test_any_text_has_assigned_code_points_only(spark):
     assert len({c for t in found for c in t}) > 20_000
 
 
+def test_any_text_keeps_a_first_byte_order_mark(spark):
+    columns = {"t": (g.any_text(6), 1000)}
+    found = [r.t for r in g.with_columns(spark.range(137561, 137562), "id", columns).collect()]
+    con = duckdb.connect()
+    want = con.execute(f"SELECT t FROM ({g.duck_columns('(SELECT 137561 AS id)', 'id', columns, 'id')})").fetchall()
+    assert found == [want[0][0]] and found[0][0] == "\ufeff" and len(found[0]) == 6
+
+
 def test_names_choose_generators():
     made = Registry().add(plugin)
     from seedloom.plans.model import ColumnModel
