@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,28 +68,50 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
+def _parts(texts: pa.Array, most: int = 2_000_000):
+    """First place, end and texts of parts of about `most` code points: only one part's texts are Python objects at a time."""
+    for i, j in slices(texts, pc.utf8_length(texts).to_pylist(), most):
+        yield i, j, texts.slice(i, j - i).to_pylist()
+
+
+def thrice(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values that stand in s three times or more, and how often; s is sorted in place, as np.unique would hold several more of its size."""
+    s.sort()
+    first = s[2:] == s[:-2]
+    first[1:] &= s[1:-2] != s[:-3]
+    u = s[: len(first)][first]
+    return u, np.searchsorted(s, u, "right") - np.flatnonzero(first)
+
+
+def met_often(batches, words: int = WORDS, most: int = 4_000_000):
+    """h, n of the shingles that stand in three documents or more of a run of texts with some more than `most` shingles, run by run."""
+    held, size = np.empty(most + most // 4, U), 0  # memory is taken as it fills
+
+    def heavy():
+        u, n = thrice(held[:size])
+        return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
+
+    for b in batches:
+        for _, _, texts in _parts(b.column(1)):
+            got = shingle_sets(texts, words)
+            end = size + sum(map(len, got))
+            if end > len(held):
+                held = np.concatenate([held[:size], np.empty(end - size, U)])
+            if got:
+                np.concatenate(got, out=held[size:end])
+            size = end
+            if size > most:
+                yield heavy()
+                size = 0
+    if size:
+        yield heavy()
+
+
 def frequent(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that a task met in three documents or more, with these counts summed over all tasks."""
 
     def run(batches):
-        held: list[np.ndarray] = []
-        size = 0
-
-        def heavy():
-            u, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(u[n > 2].view(np.int64)), pa.array(n[n > 2].astype(np.int64))], ["h", "n"])
-
-        for b in batches:
-            texts = b.column(1).to_pylist()
-            for i, j in slices(texts, [len(t) for t in texts], 2_000_000):
-                got = shingle_sets(texts[i:j], words)
-                held += got
-                size += sum(map(len, got))
-                if size > 4_000_000:
-                    yield heavy()
-                    held, size = [], 0
-        if held:
-            yield heavy()
+        return met_often(batches, words)
 
     top = _texts(docs).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(MOST_FREQUENT)
     rows = top.toArrow()
@@ -342,9 +365,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
 
     def prefixes(batches):
         for b in batches:
-            texts = b.column(1).to_pylist()
-            for i, j in slices(texts, [len(t) for t in texts], 2_000_000):
-                sets = shingle_sets(texts[i:j], words)
+            for i, j, texts in _parts(b.column(1)):
+                sets = shingle_sets(texts, words)
                 marks = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
                 n = [len(s) for s in sets]
                 sizes = [prefix(m, percent) for m in n]
@@ -377,9 +399,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
 
     def sets(batches):
         for b in batches:
-            texts = b.column(5).to_pylist()
-            for i, j in slices(texts, [len(t) for t in texts], 2_000_000):
-                got = shingle_sets(texts[i:j], words)
+            for i, j, texts in _parts(b.column(5)):
+                got = shingle_sets(texts, words)
                 marks = [xxhash.xxh3_128_intdigest(x.tobytes()) for x in got]
                 wanted = zip(b.column(2)[i:j].to_pylist(), b.column(3)[i:j].to_pylist())
                 same = [k for k, (m, w) in enumerate(zip(marks, wanted)) if ((m >> 64) - (1 << 63), (m & (1 << 64) - 1) - (1 << 63)) == w]

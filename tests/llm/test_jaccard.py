@@ -1,10 +1,12 @@
 import random
 import time
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from seedloom.llm.components import components
-from seedloom.llm.jaccard import Trie, near_duplicates, one_of_each
+from seedloom.llm.jaccard import Trie, met_often, near_duplicates, one_of_each, thrice
 
 
 def shingles(text):
@@ -148,3 +150,27 @@ def test_components(spark):
         root = {k: lo if r == hi else r for k, r in root.items()}
     got = {r.node: r.root for r in components(spark.createDataFrame([*pairs, (None, 3)], "a long, b long")).collect()}
     assert all(got.get(k, k) == r for k, r in root.items())
+
+
+def test_shingles_met_often_are_counted_in_little_memory():
+    rng = np.random.default_rng(3)
+    sample = rng.integers(0, 1 << 63, 600_000).astype(np.uint64)
+    sample[::7] = sample[rng.integers(0, 20_000, len(sample[::7]))]
+    u, n = np.unique(sample, return_counts=True)
+    tracemalloc.start()
+    found, times = thrice(sample)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (found == u[n > 2]).all() and (times == n[n > 2]).all() and len(found) > 10_000
+    assert peak < sample.nbytes  # np.unique holds several times that
+    for few in ([], [5], [5, 5], [5, 5, 5], [7, 5, 5, 5, 5, 7, 7], [1, 1, 2, 2, 3, 3]):
+        u, n = np.unique(np.array(few, np.uint64), return_counts=True)
+        assert [x.tolist() for x in thrice(np.array(few, np.uint64))] == [u[n > 2].tolist(), n[n > 2].tolist()]
+
+
+def test_runs_of_shingles_met_often():
+    texts = ["a b c d e f", "A b c d e f", "x a b c d e f", "long " + "w%d " * 30 % tuple(range(30)), "", "a b c d e f"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(texts)], ["doc_id", "text"])
+    count = lambda most: [dict(zip(*(c.to_pylist() for c in b.columns))) for b in met_often([batch, batch], most=most)]
+    assert [sorted(x.values()) for x in count(1000)] == [[8, 8, 8]]
+    assert [sorted(x.values()) for x in count(20)] == [[4, 4, 4]] * 2  # the buffer grows, and begins anew
