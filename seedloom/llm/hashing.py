@@ -18,24 +18,28 @@ def mix(z: np.ndarray) -> np.ndarray:
     return z ^ (z >> U(31))
 
 
-class _Words(dict):
-    """word -> 64-bit hash, remembering a bounded number."""
+class Words(dict):
+    """word -> 64-bit hash, remembering a bounded number; about 150 bytes each."""
+
+    def __init__(self, most: int = 500_000):
+        super().__init__()
+        self.most = most
 
     def __missing__(self, word: bytes) -> int:
         v = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 500_000:
+        if len(self) < self.most:
             self[word] = v
         return v
 
 
-_words = _Words()
+_words = Words()
 
 
-def word_hashes(docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(docs: list[list[bytes]], known: Words = _words) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of the documents one after another, and each document's end."""
     ends = np.cumsum(np.array([len(w) for w in docs], np.int64))
     total = int(ends[-1]) if len(ends) else 0
-    return np.fromiter((h for w in docs for h in map(_words.__getitem__, w)), U, total), ends
+    return np.fromiter((h for w in docs for h in map(known.__getitem__, w)), U, total), ends
 
 
 def powers(n: int) -> list[np.ndarray]:

@@ -29,10 +29,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import discard, ids_fit, table, written
-from .hashing import Rolled, sliding_min, word_hashes
+from .hashing import Rolled, Words, sliding_min, word_hashes
 from .tokenizing import slices
 
 K, M = 50, 18
+#: Bytes of text that a worker takes out of Arrow at a time; a longer text is taken whole.
+PART = 500_000
+#: Fewer than other operators remember: a word that isn't costs little here, and workers hold these words all the time.
+_words = Words(100_000)
 #: Stands for a null id: later than all others.
 _LAST = (1 << 63) - 1
 
@@ -46,39 +50,56 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(key, F.xxhash64(text).alias("tie"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
 
 
+def _parts(batches, column: int, size=len):
+    """The batches in parts of about PART bytes of a column of texts or binaries, and these as buffers.
+
+    Python objects and results are those of one part, not of all rows of a batch. size: the bytes of a buffer.
+    """
+    for b in batches:
+        raw = [x.as_buffer() for x in b.column(column)]
+        for i, j in slices(raw, [size(x) for x in raw], PART):
+            yield b.slice(i, j - i), raw[i:j]
+
+
+def _unpacked(batches, column: int):
+    """The batches in parts by the size of a column's packed texts, and the words of each text, one after another."""
+    unpack = zstandard.ZstdDecompressor()
+    for part, raw in _parts(batches, column, zstandard.frame_content_size):
+        yield part, (unpack.decompress(x).split() for x in raw)
+
+
 def paths_of(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
     """Each document's runs: PATH. start counts words, a run of n edges has n + k - 1 words, head and tail are its outer nodes."""
 
     def run(batches):
-        for b in batches:
-            keys, ties, texts = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_pylist()
-            for i, j in slices(texts, [len(t) for t in texts], 2_000_000):
-                h, ends = word_hashes([t.encode().split() for t in texts[i:j]])
-                if len(h) < k:
-                    continue
-                rolled = Rolled(h)
-                low = sliding_min(rolled.windows(m), k - m + 1)
-                begins = np.concatenate([[0], ends[:-1]])
-                whole = np.zeros(len(low) + 1, np.int64)  # edges inside one document
-                for s, e in zip(begins, ends):
-                    if e - s >= k:
-                        whole[s] += 1
-                        whole[e - k + 1] -= 1
-                inside = np.cumsum(whole[:-1]) > 0
-                new = inside.copy()
-                new[1:] &= ~(inside[:-1] & (low[1:] == low[:-1]))
-                start = np.flatnonzero(new)
-                stops = np.append(np.flatnonzero(new | ~inside), len(low))
-                n = stops[np.searchsorted(stops, start, "right")] - start
-                doc = np.searchsorted(ends, start, "right")
-                whole_run, head, tail = rolled.spans(start, start + n + k - 1), rolled.spans(start, start + k - 1), rolled.spans(start + n, start + n + k - 1)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(low[start].view(np.int64)), pa.array(whole_run.view(np.int64)), pa.array(n.astype(np.int32)), pa.array(keys[i:j][doc]), pa.array(ties[i:j][doc]),
-                        pa.array((start - begins[doc]).astype(np.int32)), pa.array(head.view(np.int64)), pa.array(tail.view(np.int64)),
-                    ],
-                    ["mh", "r1", "n", "key", "tie", "start", "head", "tail"],
-                )
+        for part, raw in _parts(batches, 2):
+            keys, ties = part.column(0).to_numpy(), part.column(1).to_numpy()
+            h, ends = word_hashes([x.to_pybytes().split() for x in raw], _words)
+            if len(h) < k:
+                continue
+            rolled = Rolled(h)
+            low = sliding_min(rolled.windows(m), k - m + 1)
+            begins = np.concatenate([[0], ends[:-1]])
+            whole = np.zeros(len(low) + 1, np.int64)  # edges inside one document
+            for s, e in zip(begins, ends):
+                if e - s >= k:
+                    whole[s] += 1
+                    whole[e - k + 1] -= 1
+            inside = np.cumsum(whole[:-1]) > 0
+            new = inside.copy()
+            new[1:] &= ~(inside[:-1] & (low[1:] == low[:-1]))
+            start = np.flatnonzero(new)
+            stops = np.append(np.flatnonzero(new | ~inside), len(low))
+            n = stops[np.searchsorted(stops, start, "right")] - start
+            doc = np.searchsorted(ends, start, "right")
+            whole_run, head, tail = rolled.spans(start, start + n + k - 1), rolled.spans(start, start + k - 1), rolled.spans(start + n, start + n + k - 1)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(low[start].view(np.int64)), pa.array(whole_run.view(np.int64)), pa.array(n.astype(np.int32)), pa.array(keys[doc]), pa.array(ties[doc]),
+                    pa.array((start - begins[doc]).astype(np.int32)), pa.array(head.view(np.int64)), pa.array(tail.view(np.int64)),
+                ],
+                ["mh", "r1", "n", "key", "tie", "start", "head", "tail"],
+            )
 
     return _keyed(docs).select("key", "tie", "text").mapInArrow(run, PATH)
 
@@ -88,8 +109,8 @@ def _packed(docs: DataFrame, only: DataFrame | None = None) -> DataFrame:
 
     def run(batches):
         pack = zstandard.ZstdCompressor(level=1)
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([pack.compress(t.encode()) for t in b.column(3).to_pylist()], pa.binary())], ["key", "tie", "doc_id", "packed"])
+        for part, raw in _parts(batches, 3):
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([pack.compress(x) for x in raw], pa.binary())], ["key", "tie", "doc_id", "packed"])
 
     rows = _keyed(docs)
     if only is not None:
@@ -105,22 +126,26 @@ def _single_edges(docs: DataFrame, sources: DataFrame, k: int) -> DataFrame:
     """
 
     def run(batches):
-        unpack = zstandard.ZstdDecompressor()
-        for b in batches:
-            out: list[list] = [[] for _ in range(10)]
-            for key, tie, packed, paths in zip(*(b.column(i).to_pylist() for i in range(4))):
-                h, _ = word_hashes([unpack.decompress(packed).split()])
-                rolled = Rolled(h)
-                hashes, nodes = rolled.windows(k).view(np.int64), rolled.windows(k - 1).view(np.int64)
-                for p in paths:
-                    value, where = np.unique(hashes[p["start"] : p["start"] + p["n"]], return_inverse=True)
-                    order = np.argsort(where, kind="stable")
-                    for w, at in zip(value.tolist(), np.split(order, np.cumsum(np.bincount(where))[:-1])):
-                        first = p["start"] + int(at[0])
-                        for c, v in zip(out, (p["mh"], w, int(nodes[first]), int(nodes[first + 1]), p["r1"], p["n"], key, tie, first, at.tolist())):
-                            c.append(v)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], ["mh", "w", "head", "tail", "r1", "n", "key", "tie", "first", "at"])
+        for part, words in _unpacked(batches, 2):
+            h, ends = word_hashes(list(words), _words)
+            rolled = Rolled(h)
+            hashes, nodes = rolled.windows(k).view(np.int64), rolled.windows(k - 1).view(np.int64)
+            keys, ties, paths = part.column(0).to_numpy(), part.column(1).to_numpy(), part.column(3)
+            start, n, mh, r1 = (c.to_numpy() for c in paths.flatten().flatten())
+            doc = np.repeat(np.arange(len(part)), paths.value_lengths().to_numpy())
+            begin = np.concatenate([[0], ends[:-1]])[doc] + start
+            path = np.repeat(np.arange(len(n)), n)
+            at = np.arange(len(path)) - np.repeat(np.cumsum(n) - n, n)
+            w = hashes[begin[path] + at]
+            order = np.lexsort((w, path))  # stable: places stay in order
+            path, at, w = path[order], at[order].astype(np.int32), w[order]
+            new = np.ones(len(w), bool)
+            new[1:] = (path[1:] != path[:-1]) | (w[1:] != w[:-1])
+            one = np.flatnonzero(new)
+            path, place = path[one], begin[path[one]] + at[one]
+            lists = pa.ListArray.from_arrays(pa.array(np.append(one, len(w)).astype(np.int32)), pa.array(at))
+            columns = (mh[path], w[one], nodes[place], nodes[place + 1], r1[path], n[path], keys[doc[path]], ties[doc[path]], start[path] + at[one])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), lists], ["mh", "w", "head", "tail", "r1", "n", "key", "tie", "first", "at"])
 
     lists = sources.groupBy("key", "tie").agg(F.collect_list(F.struct("start", "n", "mh", "r1")).alias("paths"))
     rows = _packed(docs, sources.select("key", "tie").distinct()).dropDuplicates(["key", "tie"]).join(lists, ["key", "tie"]).select("key", "tie", "packed", "paths")
@@ -159,11 +184,9 @@ def _source_digests(docs: DataFrame, spans: DataFrame, k: int) -> DataFrame:
     """skey, stie, sstart, n, d1, d2: the digests of distinct spans of n edges, from the words at their coordinates."""
 
     def run(batches):
-        unpack = zstandard.ZstdDecompressor()
-        for b in batches:
+        for part, texts in _unpacked(batches, 2):
             out: list[list] = [[] for _ in range(6)]
-            for key, tie, packed, own in zip(*(b.column(i).to_pylist() for i in range(4))):
-                words = unpack.decompress(packed).split()
+            for key, tie, own, words in zip(*(part.column(i).to_pylist() for i in (0, 1, 3)), texts):
                 for x in own:
                     for c, v in zip(out, (key, tie, x["sstart"], x["n"], *_digest(words[x["sstart"] : x["sstart"] + x["n"] + k - 1]))):
                         c.append(v)
@@ -223,11 +246,9 @@ def dedup(docs: DataFrame, k: int = K, m: int = M, with_text: bool = True) -> Da
     spans = repeated(docs, k, m).groupBy("key", "tie").agg(F.collect_list(F.struct("start", "n", "d1", "d2")).alias("spans"))
 
     def run(batches):
-        unpack = zstandard.ZstdDecompressor()
-        for b in batches:
+        for part, texts in _unpacked(batches, 1):
             out: list[list] = [[], [], [], [], []]
-            for packed, found in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                words = unpack.decompress(packed).split()
+            for found, words in zip(part.column(2).to_pylist(), texts):
                 gone, merged = np.zeros(len(words), bool), []
                 if found:
                     cover = np.zeros(len(words) + 1, np.int64)
@@ -245,7 +266,7 @@ def dedup(docs: DataFrame, k: int = K, m: int = M, with_text: bool = True) -> Da
                     c.append(v)
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int64())), pa.string()]
             names = ["n_words", "n_removed", "kept_sha256", "removed", "kept"]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(out, kinds))], ["doc_id", *names])
+            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(out, kinds))], ["doc_id", *names])
 
     rows = _packed(docs).join(spans, ["key", "tie"], "left").select("doc_id", "packed", "spans")
     out = rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, removed array<array<long>>, kept string")

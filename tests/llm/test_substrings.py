@@ -1,8 +1,11 @@
 import hashlib
 import random
+import tracemalloc
 
+import pyarrow as pa
 import xxhash
-
+import zstandard
+from pyspark.sql.classic.dataframe import DataFrame
 from seedloom.llm.substrings import dedup, repeated, unbranched
 
 
@@ -91,3 +94,56 @@ def test_long_texts_and_many_copies(spark):
     long = " ".join(f"w{i % 30_011}" for i in range(100_000))
     rows = [(1, long), (2, long[:300_000]), (3, "- " * 100_000), (4, "- " * 3_000), (5, "x" * 1_000_000)] + [(100 + i, " ".join(f"c{k}" for k in range(90))) for i in range(300)]
     check(spark, rows, 50, 18)
+
+
+def test_workers_hold_a_part_of_a_batch(spark, monkeypatch):
+    """However many rows a batch has, Python objects and results are those of some of its texts."""
+    runs, real = {}, DataFrame.mapInArrow
+    monkeypatch.setattr(DataFrame, "mapInArrow", lambda self, run, schema, *a: (runs.setdefault(schema.split()[-2], run), real(self, run, schema, *a))[1])
+    text = " ".join(f"w{i}" for i in range(80))
+    out = dedup(spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string"))
+    assert [r.n_removed for r in sorted(out.collect())] == [0, 80]
+    rng = random.Random(5)
+    texts = [" ".join(f"{rng.choice('aé')}{rng.randint(0, 5_000)}" for _ in range(300)) for _ in range(8_000)]
+    ids = pa.array(range(len(texts)), pa.int64())
+    packed = pa.array([zstandard.compress(t.encode(), 1) for t in texts])
+    structs = lambda rows, **kinds: pa.array([rows] * len(texts), pa.list_(pa.struct(list(kinds.items()))))
+    paths = structs([{"start": 10, "n": 60, "mh": 1, "r1": 2}, {"start": 80, "n": 40, "mh": 3, "r1": 4}], start=pa.int32(), n=pa.int32(), mh=pa.int64(), r1=pa.int64())
+    own = structs([{"sstart": i, "n": 10 + i} for i in range(4)], sstart=pa.int32(), n=pa.int32())
+    spans = structs([{"start": i, "n": 10 + i, "d1": 0, "d2": 0} for i in range(4)], start=pa.int32(), n=pa.int32(), d1=pa.int64(), d2=pa.int64())
+    whole = sum(len(t.encode()) for t in texts)
+    for last, columns in {"tail": (ids, ids, pa.array(texts)), "packed": (ids, ids, ids, pa.array(texts)), "at": (ids, ids, packed, paths), "d2": (ids, ids, packed, own), "kept": (ids, packed, spans)}.items():
+        batch = pa.RecordBatch.from_arrays(list(columns), [f"c{i}" for i in range(len(columns))])
+        assert sum(len(got) for got in runs[last](iter([batch.slice(0, 100)]))) >= 100  # words are remembered
+        tracemalloc.start()
+        assert sum(len(got) for got in runs[last](iter([batch]))) >= len(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < whole, last
+
+
+def test_edges_of_paths_one_by_one(spark):
+    """Paths that cross, of several documents in one part: each has its distinct edges, with all their places."""
+    import seedloom.llm.substrings as substrings
+
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choice("ab") for _ in range(n))) for i, n in enumerate([60, 4, 0, 90, 40])]
+    taken = [(0, 3, 20, 1, 11), (0, 23, 30, 2, 12), (0, 0, 1, 3, 13), (3, 0, 87, 4, 14), (3, 10, 5, 5, 15), (4, 36, 1, 6, 16), (1, 0, 1, 7, 17)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(1)
+    tie = {r.key: r.tie for r in substrings._keyed(docs).collect()}
+    sources = spark.createDataFrame([(key, tie[key], *p) for key, *p in taken], "key long, tie long, start int, n int, mh long, r1 long")
+    got = substrings._single_edges(docs, substrings.written(sources, "test-sources"), 4).collect()
+    words, want, edge, node = dict(rows), {}, {}, {}
+    for key, start, n, mh, r1 in taken:
+        w = words[key].split()
+        for at in range(n):
+            want.setdefault((mh, r1, n, key, tie[key], tuple(w[start + at : start + at + 4])), []).append(at)
+    firsts = {(mh, at[0]): x for (mh, *_, x), at in want.items()}
+    starts = {mh: start for _, start, _, mh, _ in taken}
+    found = {}
+    for r in got:
+        x = firsts[r.mh, r.at[0]]
+        found[r.mh, r.r1, r.n, r.key, r.tie, x] = r.at
+        assert r.first == starts[r.mh] + r.at[0]
+        assert (edge.setdefault(x, r.w), node.setdefault(x[:-1], r.head), node.setdefault(x[1:], r.tail)) == (r.w, r.head, r.tail)
+    assert found == want and len(got) == len(want) and len(set(edge.values())) == len(edge) and len(set(node.values())) == len(node)
