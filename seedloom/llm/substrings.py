@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, ids_fit, table, written
+from .common import discard, ids_fit, small_batches, table, written
 from .hashing import Rolled, Words, sliding_min, word_hashes
 from .tokenizing import slices
 
@@ -104,24 +104,27 @@ def paths_of(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
     return _keyed(docs).select("key", "tie", "text").mapInArrow(run, PATH)
 
 
-def _packed(docs: DataFrame, only: DataFrame | None = None) -> DataFrame:
-    """key, tie, doc_id, packed: texts, or only those of some (key, tie), compressed before they are shuffled."""
+def _packed(docs: DataFrame) -> DataFrame:
+    """key, tie, doc_id, packed: texts, compressed once and written before they are shuffled."""
 
     def run(batches):
         pack = zstandard.ZstdCompressor(level=1)
         for part, raw in _parts(batches, 3):
             yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([pack.compress(x) for x in raw], pa.binary())], ["key", "tie", "doc_id", "packed"])
 
-    rows = _keyed(docs)
-    if only is not None:
-        rows = rows.join(ids_fit(only), ["key", "tie"], "left_semi")
-    return rows.mapInArrow(run, "key long, tie long, doc_id long, packed binary")
+    with small_batches(docs.sparkSession):
+        return written(_keyed(docs).mapInArrow(run, "key long, tie long, doc_id long, packed binary"), "substring-texts", "none")
 
 
-def _single_edges(docs: DataFrame, sources: DataFrame, k: int) -> DataFrame:
+def _some(texts: DataFrame, only: DataFrame) -> DataFrame:
+    """One of the packed texts for each of some (key, tie)."""
+    return texts.join(ids_fit(only), ["key", "tie"], "left_semi").dropDuplicates(["key", "tie"])
+
+
+def _single_edges(texts: DataFrame, sources: DataFrame, k: int) -> DataFrame:
     """mh, w, head, tail, r1, n, key, tie, first, at: the distinct edges of each path, one by one.
 
-    sources: key, tie, start, n, mh, r1 of paths in their first documents. w is the edge's hash, first the place of the edge in
+    texts: as packed; sources: key, tie, start, n, mh, r1 of paths in their first documents. w is the edge's hash, first the place of the edge in
     its document, at its places within the path.
     """
 
@@ -148,7 +151,7 @@ def _single_edges(docs: DataFrame, sources: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*map(pa.array, columns), lists], ["mh", "w", "head", "tail", "r1", "n", "key", "tie", "first", "at"])
 
     lists = sources.groupBy("key", "tie").agg(F.collect_list(F.struct("start", "n", "mh", "r1")).alias("paths"))
-    rows = _packed(docs, sources.select("key", "tie").distinct()).dropDuplicates(["key", "tie"]).join(lists, ["key", "tie"]).select("key", "tie", "packed", "paths")
+    rows = _some(texts, sources.select("key", "tie").distinct()).join(lists, ["key", "tie"]).select("key", "tie", "packed", "paths")
     return rows.mapInArrow(run, "mh long, w long, head long, tail long, r1 long, n int, key long, tie long, first int, at array<int>")
 
 
@@ -180,13 +183,13 @@ def _digest(words: list[bytes]) -> tuple[int, int]:
     return (v >> 64) - (1 << 63), (v & (1 << 64) - 1) - (1 << 63)
 
 
-def _source_digests(docs: DataFrame, spans: DataFrame, k: int) -> DataFrame:
+def _source_digests(texts: DataFrame, spans: DataFrame, k: int) -> DataFrame:
     """skey, stie, sstart, n, d1, d2: the digests of distinct spans of n edges, from the words at their coordinates."""
 
     def run(batches):
-        for part, texts in _unpacked(batches, 2):
+        for part, own_words in _unpacked(batches, 2):
             out: list[list] = [[] for _ in range(6)]
-            for key, tie, own, words in zip(*(part.column(i).to_pylist() for i in (0, 1, 3)), texts):
+            for key, tie, own, words in zip(*(part.column(i).to_pylist() for i in (0, 1, 3)), own_words):
                 for x in own:
                     for c, v in zip(out, (key, tie, x["sstart"], x["n"], *_digest(words[x["sstart"] : x["sstart"] + x["n"] + k - 1]))):
                         c.append(v)
@@ -195,14 +198,16 @@ def _source_digests(docs: DataFrame, spans: DataFrame, k: int) -> DataFrame:
 
     distinct = spans.select(F.col("skey").alias("key"), F.col("stie").alias("tie"), "sstart", "n").distinct()
     lists = written(distinct.groupBy("key", "tie").agg(F.collect_list(F.struct("sstart", "n")).alias("own")), "substring-spans")
-    rows = _packed(docs, lists.select("key", "tie")).dropDuplicates(["key", "tie"]).join(lists, ["key", "tie"]).select("key", "tie", "packed", "own")
+    rows = _some(texts, lists.select("key", "tie")).join(lists, ["key", "tie"]).select("key", "tie", "packed", "own")
     return rows.mapInArrow(run, "skey long, stie long, sstart int, n int, d1 long, d2 long")
 
 
-def repeated(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
+def repeated(docs: DataFrame, k: int = K, m: int = M, texts: DataFrame | None = None) -> DataFrame:
     """key, tie, start, n, d1, d2: paths of n edges that also stand in a document with a smaller id, and the digests of the words there."""
     path = ["mh", "r1", "n"]
-    all_runs = written(paths_of(docs, k, m), "substring-runs")
+    texts = _packed(docs) if texts is None else texts
+    with small_batches(docs.sparkSession):
+        all_runs = written(paths_of(docs, k, m), "substring-runs")
     shared = all_runs.groupBy("mh").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo < hi").select("mh")
     runs = written(all_runs.join(shared, "mh", "left_semi"), "substring-shared")
     discard(all_runs)
@@ -211,7 +216,7 @@ def repeated(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
 
     branching = written(paths.groupBy("mh").count().filter("count > 1").select("mh"), "substring-branching")
     sources = paths.join(branching, "mh", "left_semi").select("key", "tie", "start", "n", "mh", "r1")
-    single = written(_single_edges(docs, sources, k), "substring-edges")
+    single = written(_single_edges(texts, sources, k), "substring-edges")
     edges = single.groupBy("mh", "w").agg(F.min(F.struct("key", "tie", "first")).alias("low"), F.max("key").alias("high"), F.min("head").alias("head"), F.min("tail").alias("tail"))
     edges = written(edges.filter("low.key < high").select("mh", "w", F.col("low.key").alias("skey"), F.col("low.tie").alias("stie"), F.col("low.first").alias("sfirst"), "head", "tail"), "substring-repeated")
 
@@ -231,7 +236,7 @@ def repeated(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
     parts = known.join(parts, [*path, "key"]).select("key", "tie", "start", F.explode("edges").alias("e")).select("key", "tie", "start", F.explode("e.at").alias("at"), "e.skey", "e.stie", "e.sstart", "e.joins")
     parts = parts.select("key", "tie", (F.col("start") + F.col("at")).alias("start"), F.lit(1).alias("n"), "skey", "stie", "sstart", "joins")
     spans = written(compacted(later.unionByName(parts)), "substring-paths")
-    return spans.join(_source_digests(docs, spans, k), ["skey", "stie", "sstart", "n"]).select("key", "tie", "start", "n", "d1", "d2")
+    return spans.join(_source_digests(texts, spans, k), ["skey", "stie", "sstart", "n"]).select("key", "tie", "start", "n", "d1", "d2")
 
 
 def dedup(docs: DataFrame, k: int = K, m: int = M, with_text: bool = True) -> DataFrame:
@@ -243,7 +248,8 @@ def dedup(docs: DataFrame, k: int = K, m: int = M, with_text: bool = True) -> Da
     null ids count as the latest; texts of fewer than k words stay whole; an empty
     table gives no rows; other columns are not read; a text of any length is taken whole.
     """
-    spans = repeated(docs, k, m).groupBy("key", "tie").agg(F.collect_list(F.struct("start", "n", "d1", "d2")).alias("spans"))
+    packed = _packed(docs)
+    spans = repeated(docs, k, m, packed).groupBy("key", "tie").agg(F.collect_list(F.struct("start", "n", "d1", "d2")).alias("spans"))
 
     def run(batches):
         for part, texts in _unpacked(batches, 1):
@@ -268,7 +274,7 @@ def dedup(docs: DataFrame, k: int = K, m: int = M, with_text: bool = True) -> Da
             names = ["n_words", "n_removed", "kept_sha256", "removed", "kept"]
             yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(out, kinds))], ["doc_id", *names])
 
-    rows = _packed(docs).join(spans, ["key", "tie"], "left").select("doc_id", "packed", "spans")
+    rows = packed.join(spans, ["key", "tie"], "left").select("doc_id", "packed", "spans")
     out = rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, removed array<array<long>>, kept string")
     return out if with_text else out.drop("kept")
 

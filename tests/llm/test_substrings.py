@@ -130,9 +130,10 @@ def test_edges_of_paths_one_by_one(spark):
     rows = [(i, " ".join(rng.choice("ab") for _ in range(n))) for i, n in enumerate([60, 4, 0, 90, 40])]
     taken = [(0, 3, 20, 1, 11), (0, 23, 30, 2, 12), (0, 0, 1, 3, 13), (3, 0, 87, 4, 14), (3, 10, 5, 5, 15), (4, 36, 1, 6, 16), (1, 0, 1, 7, 17)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(1)
-    tie = {r.key: r.tie for r in substrings._keyed(docs).collect()}
+    texts = substrings._packed(docs)
+    tie = {r.key: r.tie for r in texts.collect()}
     sources = spark.createDataFrame([(key, tie[key], *p) for key, *p in taken], "key long, tie long, start int, n int, mh long, r1 long")
-    got = substrings._single_edges(docs, substrings.written(sources, "test-sources"), 4).collect()
+    got = substrings._single_edges(texts, substrings.written(sources, "test-sources"), 4).collect()
     words, want, edge, node = dict(rows), {}, {}, {}
     for key, start, n, mh, r1 in taken:
         w = words[key].split()
@@ -147,3 +148,22 @@ def test_edges_of_paths_one_by_one(spark):
         assert r.first == starts[r.mh] + r.at[0]
         assert (edge.setdefault(x, r.w), node.setdefault(x[:-1], r.head), node.setdefault(x[1:], r.tail)) == (r.w, r.head, r.tail)
     assert found == want and len(got) == len(want) and len(set(edge.values())) == len(edge) and len(set(node.values())) == len(node)
+
+
+def test_batches_of_whole_texts_are_small(spark, monkeypatch):
+    """Of the rows that a worker gets with whole texts; the session's own setting is left as it was."""
+    import seedloom.llm.substrings as substrings
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, seen, real = spark.conf.get(name), [], DataFrame.mapInArrow
+
+    def counted(self, run, schema, *a):
+        if "text" in self.columns:
+            run = lambda batches, f=run: f(b if len(b) <= 1_000 else 1 / 0 for b in batches)
+            seen.append(schema)
+        return real(self, run, schema, *a)
+
+    monkeypatch.setattr(DataFrame, "mapInArrow", counted)
+    rows = spark.range(0, 2_500, 1, 1).selectExpr("id AS doc_id", "repeat('x y ', 30) AS text")
+    assert {(r.doc_id == 0, r.n_removed) for r in substrings.dedup(rows).collect()} == {(True, 0), (False, 60)}
+    assert len(seen) == 2 and spark.conf.get(name) == before
